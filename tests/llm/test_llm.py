@@ -119,6 +119,22 @@ def test_minhash_odd_and_hot(spark):
     assert got == brute.near(list(enumerate(texts)), 4)
 
 
+def test_minhash_large_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(13)
+    base, texts = [f"w{i}" for i in range(100)], []
+    for k in range(160):
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join([*t.split()[:-1], "end"]) for t in texts[:40]]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts), width=4).collect()}
+    want = {d: c for d, (_, c, _) in brute.near(list(enumerate(texts)), 4).items()}
+    assert got == want and len(set(want.values())) > 3
+
+
 def test_minhash_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (2, "q r s t u v"), (3, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=str)

@@ -5,9 +5,11 @@ signature: sigma scatters a shingle's place, and coordinate k is the smallest pi
 shifted circularly by k. Neighbouring coordinates are neighbours in memory, so one gather of a row of pi serves a shingle.
 
 Documents with equal sets are one node from the start. Signature bands are buckets; verification compares full sets.
-Within a bucket all nodes are first compared with the bucket's smallest, and later with a few other hubs, which links a
-large group in linear work; then every pair of a bucket whose ends are still in different components, and whose set sizes
-allow the similarity, is compared. So no candidate is left out, and pairs inside a component that is known are not made.
+Within a bucket all nodes are first compared with the bucket's smallest, which links most of a large group in linear work.
+In buckets that still hold more than one component, all pairs whose ends are in different components and whose set sizes
+allow the similarity are compared: as rows in small buckets, and in large ones within tasks that each get two blocks of the
+bucket, count all intersections by one matrix product over the hashes that both blocks hold, and return a spanning forest of
+the links. So no candidate is left out, no bucket meets in one task, and large buckets never become rows of pairs.
 
 Results for special input: null text, or text without words, has an empty set and links with nothing; a null id links with
 nothing (component null, kept); rows that share an id are one node with all their texts' links; an empty table gives an
@@ -30,6 +32,8 @@ from .components import components
 PLACES = 1 << 21
 #: 40 bands of 6 coordinates: a pair at 0.8 is missed with probability (1 - 0.8**6)**40 = 5e-6.
 BANDS, ROWS = 40, 6
+#: Buckets of up to SMALL nodes are compared as rows; larger ones in blocks of about BLOCK nodes.
+SMALL, BLOCK = 32, 256
 
 
 def shingles(raw: bytes, words: Words, width: int) -> np.ndarray:
@@ -123,7 +127,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hubs: int = 2) -> DataFrame:
+def forest(near: np.ndarray) -> np.ndarray:
+    """For each node of a symmetric boolean matrix, the smallest node it is connected with."""
+    label = np.arange(len(near))
+    while True:
+        low = np.minimum(label, np.where(near, label[None], len(label)).min(axis=1))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _by_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what the pairs of each large bucket connect. rows: bucket, rep, n, comp, size."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.join(sets.withColumnRenamed("doc", "rep"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "comp", "set")
+    kind = rows.schema["rep"].dataType.simpleString()
+
+    def compare(t: pa.Table) -> pa.Table:
+        column = t["set"].combine_chunks()
+        values, ends = np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths()))])
+        size, count = np.diff(ends), len(t)
+        distinct, place, times = np.unique(values, return_inverse=True, return_counts=True)
+        shared = np.cumsum(times > 1) - 1  # hashes of one node alone are in no intersection
+        node = np.repeat(np.arange(count), size)
+        on = times[place] > 1
+        node, at = node[on], shared[place[on]]
+        order = np.argsort(at, kind="stable")
+        node, at = node[order], at[order]
+        common = np.zeros((count, count), np.float32)
+        for s in range(0, int(times[times > 1].size), 4096):
+            lo, hi = np.searchsorted(at, [s, s + 4096])
+            m = np.zeros((count, 4096), np.float32)
+            m[node[lo:hi], at[lo:hi] - s] = 1
+            common += m @ m.T
+        near = 100 * common >= percent * (size[:, None] + size[None] - common)
+        comp = np.asarray(t["comp"])
+        label = forest(near | (comp[:, None] == comp[None]))
+        rep = np.asarray(t["rep"])
+        far = np.flatnonzero(comp != comp[label])
+        return pa.table({"a": pa.array(rep[far], t["rep"].type), "b": pa.array(rep[label[far]], t["rep"].type)})
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hubs: int = 1) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     source = need(docs, id_col, text_col).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     signed = durable(_signed(source, width))
@@ -149,11 +198,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = new if links is None else links.unionByName(new)
         comp = components(links)
     held = rows.join(comp, rows["rep"] == comp["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    split = held.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    split = held.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size")
     held = durable(held.join(split, "bucket"))
-    other = held.select("bucket", F.col("rep").alias("c"), F.col("n").alias("m"), F.col("comp").alias("cc"))
-    pairs = held.join(other, "bucket").where((F.col("comp") < F.col("cc")) & fits).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-    new = durable(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent))
+    small = held.where(F.col("size") <= SMALL)
+    other = small.select("bucket", F.col("rep").alias("c"), F.col("n").alias("m"), F.col("comp").alias("cc"))
+    pairs = small.join(other, "bucket").where((F.col("comp") < F.col("cc")) & fits).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+    rest = _verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent)
+    new = durable(rest.unionByName(_by_blocks(held.where(F.col("size") > SMALL), sets, percent)))
     if not new.isEmpty():
         comp = components(links.unionByName(new))
     # rows that share an id join their texts' nodes
