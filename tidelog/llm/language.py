@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import need, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -168,7 +168,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> ByteCNN | None:
 def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The keep columns (by default the id) with lang_pred and score."""
     keep = keep or (id_col,)
-    source = docs.select(*dict.fromkeys((*keep, text_col)))
+    source = small_batches(docs.select(*dict.fromkeys((*keep, text_col))))
     place = source.columns.index(text_col)
     out = [c for c in source.columns if c in keep]
     at = [source.columns.index(c) for c in out]

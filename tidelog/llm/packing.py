@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, need, partitions
+from .common import durable, need, partitions, small_batches
 
 DIMENSIONS, BITS = 4, 12
 
@@ -59,7 +59,7 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 class WordTokens(dict):
     """Word -> its ids as little-endian unsigned 16-bit bytes (32-bit if the vocabulary is larger), remembered up to LIMIT entries."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -88,7 +88,7 @@ def encode(texts: list[str | None], known: WordTokens, end_id: int) -> list[byte
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, seed: int = 3) -> DataFrame:
     """Id, Hilbert key, token bytes and their width."""
-    source = need(docs, id_col, text_col)
+    source = small_batches(need(docs, id_col, text_col))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordTokens(tokenizer_path)

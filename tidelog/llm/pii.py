@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import need, small_batches
 
 #: Base kinds in their contract order, then the kinds this method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -129,7 +129,7 @@ SPANS = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and ``spans`` of (kind, start, end, value), sorted by kind as listed in KINDS, then start."""
-    source = need(docs, id_col, text_col)
+    source = small_batches(need(docs, id_col, text_col))
     kind = source.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

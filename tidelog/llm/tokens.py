@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import need
+from .common import need, small_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -31,7 +31,7 @@ UNKNOWN_PENALTY = 10.0
 class Lexicon:
     """Pieces and scores with their automaton; ``count`` is the number of tokens of a normalised word."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool) -> None:
         bad = [p for p, _ in pieces if MARK in p.lstrip(MARK)]
@@ -114,7 +114,7 @@ class Lexicon:
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens (long) and n_chars_seen (long, code points of the text)."""
-    source = need(docs, id_col, text_col)
+    source = small_batches(need(docs, id_col, text_col))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon.from_sentencepiece(model_path)
