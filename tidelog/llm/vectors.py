@@ -19,6 +19,8 @@ one node; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +53,9 @@ class CoverTree:
         self._grow(np.arange(len(x)), chord(x, x[:1])[:, 0], 2.0, 0)
         self.centre, self.radius = np.array(self.centre), np.array(self.radius)
         self.low, self.high = np.array(self.low), np.array(self.high)
+        sizes = np.array([0 if k is None else len(k) for k in self.kids])
+        self.first = np.concatenate([[0], np.cumsum(sizes)])  # children of node k: child[first[k]:first[k + 1]]
+        self.child = np.concatenate([np.empty(0, np.int64), *(k for k in self.kids if k is not None)]).astype(np.int64)
 
     def _grow(self, members: np.ndarray, far: np.ndarray, reach: float, low: int) -> int:
         """A node for members, whose first is the centre; far: their distances from it. Recursion is as deep as the levels, some fifty at most."""
@@ -108,85 +113,117 @@ class Links:
         self.total = np.concatenate([[0], np.cumsum(weight)])
         self.ranged = np.zeros(n + 1, np.int64)  # differences: links that whole ranges gain
         self.single = np.zeros(n, np.int64)
-        self.tied = np.zeros(n + 1, np.int64)  # differences: positions that are in one group with the next
-        self.ends: list[np.ndarray] = []
-
-    def whole(self, a: tuple[int, int], b: tuple[int, int]) -> None:
-        for (lo, hi), (p, q) in ((a, b), (b, a)):
-            self.ranged[lo] += self.total[q] - self.total[p]
-            self.ranged[hi] -= self.total[q] - self.total[p]
-            self.tied[lo] += 1
-            self.tied[hi - 1] -= 1
-        self.ends.append(np.array([[a[0], b[0]]]))
-
-    def within(self, lo: int, hi: int) -> None:
-        self.ranged[lo] += self.total[hi] - self.total[lo]
-        self.ranged[hi] -= self.total[hi] - self.total[lo]
-        self.single[lo:hi] -= self.weight[lo:hi]
-        self.tied[lo] += 1
-        self.tied[hi - 1] -= 1
-
-    def exact(self, hits: np.ndarray, a: int, b: int, same: bool) -> None:
-        i, j = np.nonzero(np.triu(hits, 1) if same else hits)
-        if len(i):
-            i, j = i + a, j + b
-            np.add.at(self.single, i, self.weight[j])
-            np.add.at(self.single, j, self.weight[i])
-            self.ends.append(np.stack([i, j], axis=1))
+        self.label = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Positions i and j are in one group, pair by pair; labels are smallest positions."""
+        while len(i):
+            a, b = self.label[i], self.label[j]
+            open_ = a != b
+            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while (self.label[self.label] != self.label).any():
+                self.label = self.label[self.label]
+
+    def whole(self, lo: int, hi: int, p: int, q: int) -> None:
+        """All of [lo, hi) are linked with all of [p, q); the two ranges are the same or apart."""
+        for a, b, c, d in {(lo, hi, p, q), (p, q, lo, hi)}:
+            self.ranged[a] += self.total[d] - self.total[c]
+            self.ranged[b] -= self.total[d] - self.total[c]
+        if lo == p:
+            self.single[lo:hi] -= self.weight[lo:hi]
+        both = np.concatenate([np.arange(lo, hi), np.arange(p, q)])
+        self.join(both, np.full(len(both), lo))
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Links between positions i < j, each once."""
+        n = len(self.weight)
+        self.single += np.bincount(i, self.weight[j], n).astype(np.int64) + np.bincount(j, self.weight[i], n).astype(np.int64)
+        self.join(i, j)
 
     def counts(self) -> np.ndarray:
         return self.single + np.cumsum(self.ranged)[:-1]
 
-    def groups(self) -> np.ndarray:
-        """For each position, the smallest position of its group."""
-        n = len(self.weight)
-        tied = np.flatnonzero(np.cumsum(self.tied)[:-1] > 0)
-        e = np.concatenate([np.stack([tied, tied + 1], axis=1), *self.ends]) if self.ends or len(tied) else np.empty((0, 2), np.int64)
-        label = np.arange(n)
-        while len(e):
-            a, b = label[e[:, 0]], label[e[:, 1]]
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            if not (lo < hi).any():
-                break
-            np.minimum.at(label, hi, lo)
-            while (label[label] != label).any():
-                label = label[label]
-        return label
-
-
-def dual(a: CoverTree, b: CoverTree | None, weight: np.ndarray, threshold: float) -> Links:
-    """Links within a (b is None) or between a and b. weight: of a's positions in order, then b's."""
+
+def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of the given lengths: the run of each element and its place in the run."""
+    run = np.repeat(np.arange(len(count)), count)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def dual(a: CoverTree, b: CoverTree | None, weight: np.ndarray, threshold: float, chunk: int = 1 << 17) -> Links:
+    """Links within a (b is None) or between a and b. weight: of a's positions in order, then b's.
+
+    Pairs of nodes are walked in batches. Where two nodes have many children, one matrix product over their centres, by
+    classes of covering radius, gives the pairs of children that remain.
+    """
     reach = float(np.sqrt(2.0 - 2.0 * threshold))
-    links, same, t = Links(weight), b is None, a
+    links, same = Links(weight), b is None
     b, shift = (a, 0) if same else (b, len(a.x))
-    stack = [(0, 0)]
+    kids_a, kids_b = np.diff(a.first), np.diff(b.first)
+    stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+
+    def later(p: np.ndarray, q: np.ndarray) -> None:
+        stack.extend((p[s : s + chunk], q[s : s + chunk]) for s in range(0, len(p), chunk))
+
+    def product(p: int, q: int) -> None:
+        """Pairs of children of p and q that the coarse bound of their radius classes leaves, in single precision with a margin."""
+        left, right = a.child[a.first[p] : a.first[p + 1]], b.child[b.first[q] : b.first[q + 1]]
+        classes = lambda r: np.digitize(r, [1e-9, 0.15, 0.3, 0.6, 0.8, 0.9])
+        ca, cb = classes(a.radius[left]), classes(b.radius[right])
+        for u in np.unique(ca):
+            i = left[ca == u]
+            for v in np.unique(cb):
+                j = right[cb == v]
+                far = a.radius[i].max() + b.radius[j].max() + reach + MARGIN
+                least = 1.0 - far * far / 2.0 - 1e-5 if far < 2 else -2.0
+                y = b.x[b.centre[j]].astype(np.float32).T
+                for s in range(0, len(i), 512):
+                    m, n = np.nonzero(a.x[a.centre[i[s : s + 512]]].astype(np.float32) @ y >= least)
+                    m, n = i[s + m], j[n]
+                    if same and p == q:
+                        m, n = m[m <= n], n[m <= n]
+                    later(m, n)
+
     while stack:
         p, q = stack.pop()
-        mine = same and p == q
-        d = 0.0 if mine else float(chord(t.x[t.centre[p]][None], b.x[b.centre[q]][None])[0, 0])
-        ra, rb = t.radius[p], b.radius[q]
-        if d > ra + rb + reach + MARGIN:
-            continue
-        ka, kb = t.kids[p], b.kids[q]
-        if d + ra + rb < reach - MARGIN and (ka is not None or kb is not None or t.high[p] - t.low[p] > 1):
-            if mine:
-                links.within(t.low[p], t.high[p])
-            else:
-                links.whole((t.low[p], t.high[p]), (b.low[q] + shift, b.high[q] + shift))
-            continue
-        if ka is None and kb is None:
-            i, j = t.order[t.low[p] : t.high[p]], b.order[b.low[q] : b.high[q]]
-            links.exact(t.x[i] @ b.x[j].T >= threshold, int(t.low[p]), int(b.low[q]) + shift, mine)
-            continue
-        left = ka if ka is not None else np.array([p])
-        right = kb if kb is not None else np.array([q])
-        for s in range(0, len(left), 512):
-            i = left[s : s + 512]
-            near = chord(t.x[t.centre[i]], b.x[b.centre[right]]) <= t.radius[i][:, None] + b.radius[right][None] + reach + MARGIN
-            if mine:
-                near &= np.arange(s, s + len(i))[:, None] <= np.arange(len(right))[None]
-            u, v = np.nonzero(near)
-            stack += zip(i[u].tolist(), right[v].tolist(), strict=True)
+        mine = (p == q) if same else np.zeros(len(p), bool)
+        d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", a.x[a.centre[p]], b.x[b.centre[q]])))
+        d[mine] = 0.0
+        ra, rb = a.radius[p], b.radius[q]
+        near = d <= ra + rb + reach + MARGIN
+        p, q, mine, d, ra, rb = p[near], q[near], mine[near], d[near], ra[near], rb[near]
+        size = (a.high[p] - a.low[p]) * (b.high[q] - b.low[q])
+        all_in = (d + ra + rb < reach - MARGIN) & (size >= 256)
+        for k in np.flatnonzero(all_in):
+            links.whole(int(a.low[p[k]]), int(a.high[p[k]]), int(b.low[q[k]]) + shift, int(b.high[q[k]]) + shift)
+        p, q, mine = p[~all_in], q[~all_in], mine[~all_in]
+        ends = (kids_a[p] == 0) & (kids_b[q] == 0)
+        u, v = p[ends], q[ends]
+        for s in range(0, len(u), 4096):  # leaves: all their members, exactly
+            x, y = u[s : s + 4096], v[s : s + 4096]
+            wide = b.high[y] - b.low[y]
+            run, at = _spread((a.high[x] - a.low[x]) * wide)
+            i, j = a.low[x][run] + at // wide[run], b.low[y][run] + at % wide[run]
+            keep = ~(x == y)[run] | (i < j) if same else np.ones(len(i), bool)  # a leaf with itself has each pair twice
+            i, j = i[keep], j[keep]
+            for t in range(0, len(i), chunk):
+                e, f = i[t : t + chunk], j[t : t + chunk]
+                hit = np.einsum("ij,ij->i", a.x[a.order[e]], b.x[b.order[f]]) >= threshold
+                links.pairs(e[hit], f[hit] + shift)
+        p, q, mine = p[~ends], q[~ends], mine[~ends]
+        na, nb = np.maximum(kids_a[p], 1), np.maximum(kids_b[q], 1)
+        big = (na * nb > 1024) & (kids_a[p] > 0) & (kids_b[q] > 0)
+        for k in np.flatnonzero(big):
+            product(int(p[k]), int(q[k]))
+        p, q, mine, na, nb = p[~big], q[~big], mine[~big], na[~big], nb[~big]
+        for s in range(0, len(p), 4096):
+            x, y, m, w = p[s : s + 4096], q[s : s + 4096], mine[s : s + 4096], nb[s : s + 4096]
+            run, at = _spread(na[s : s + 4096] * w)
+            down = lambda t, kids, node, k: np.where(kids[node] == 0, node, t.child[np.minimum(t.first[node] + k, max(0, len(t.child) - 1))] if len(t.child) else node)
+            i, j = down(a, kids_a, x[run], at // w[run]), down(b, kids_b, y[run], at % w[run])
+            keep = ~m[run] | (i <= j)
+            later(i[keep], j[keep])
     return links
 
 
@@ -228,34 +265,32 @@ def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     blocks = {c: max(1, -(-stats[c][0] // (2 * block))) for c in cells}
     plan = [(c, blocks[c], [(cells[j], blocks[cells[j]]) for j in np.flatnonzero(meet[i])]) for i, c in enumerate(cells)]
     plan = spark.createDataFrame(plan, "cell int, mine int, partners array<struct<cell:int,blocks:int>>").coalesce(1)
-    rows = placed.join(F.broadcast(plan), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("mine")).cast("int"))
-    rows = rows.select("rep", "copies", "vec", "cell", "block", F.explode(F.flatten(F.transform("partners", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: F.struct(p["cell"].alias("cell"), k.alias("block")))))).alias("other"))
+    rows = placed.join(F.broadcast(plan.select("cell", "mine")), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("mine")).cast("int"))
+
+    def grow(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
+        tree = CoverTree(unit(_matrix(t["vec"])))
+        raw = pickle.dumps((tree, np.asarray(t["rep"])[tree.order], np.asarray(t["copies"])[tree.order]), 5)
+        return pa.table({"cell": t["cell"][:1], "block": t["block"][:1], "block_data": pa.array([raw], pa.binary())})
+
+    # one row per block, with its tree: each tree is grown once and sent to the tasks of its pairs
+    trees = durable(rows.select("cell", "block", "rep", "copies", "vec").groupBy("cell", "block").applyInArrow(grow, "cell int, block int, block_data binary"))
+    rows = trees.join(F.broadcast(plan), "cell")
+    rows = rows.select("block_data", "cell", "block", F.explode(F.flatten(F.transform("partners", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: F.struct(p["cell"].alias("cell"), k.alias("block")))))).alias("other"))
     me = F.struct("cell", "block")
-    first = me <= F.col("other")
-    rows = rows.select("rep", "copies", "vec", F.least(me, "other").alias("one"), F.greatest(me, "other").alias("two"), (~first).cast("int").alias("side"))
+    rows = rows.select("block_data", F.least(me, "other").alias("one"), F.greatest(me, "other").alias("two"), (me > F.col("other")).cast("int").alias("side"))
 
     def task(t: pa.Table) -> pa.Table:
-        one = t["one"][0].as_py() == t["two"][0].as_py()
-        side = np.asarray(t["side"])
-        reps, weights, trees, = [], [], []
-        for k in (0,) if one else (0, 1):
-            part = t.filter(pa.array(side == k))
-            if not len(part):
-                continue
-            part = part.sort_by("rep")
-            tree = CoverTree(unit(_matrix(part["vec"])))
-            trees.append(tree)
-            reps.append(np.asarray(part["rep"])[tree.order])
-            weights.append(np.asarray(part["copies"])[tree.order])
-        if len(trees) < (1 if one else 2):
+        parts = [pickle.loads(raw) for _, raw in sorted(zip(t["side"].to_pylist(), t["block_data"].to_pylist(), strict=True), key=lambda x: x[0])]
+        if len(parts) < 2 and t["one"][0] != t["two"][0]:
             return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        rep = np.concatenate(reps)
-        links = dual(trees[0], trees[1] if len(trees) > 1 else None, np.concatenate(weights), threshold)
-        count, label = links.counts(), links.groups()
+        rep = np.concatenate([reps for _, reps, _ in parts])
+        links = dual(parts[0][0], parts[1][0] if len(parts) > 1 else None, np.concatenate([w for _, _, w in parts]), threshold)
+        count = links.counts()
         root = np.full(len(rep), np.iinfo(np.int64).max)
-        np.minimum.at(root, label, rep)
+        np.minimum.at(root, links.label, rep)
         some = count > 0
-        return pa.table({"rep": rep[some], "links": count[some], "root": root[label][some]})
+        return pa.table({"rep": rep[some], "links": count[some], "root": root[links.label][some]})
 
     return rows.groupBy("one", "two").applyInArrow(task, "rep long, links long, root long")
 
