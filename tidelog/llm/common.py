@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import shutil
 import tempfile
 
@@ -51,6 +55,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers stay for later tasks of other operators."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def returning(scan):
+    """A mapInArrow function that gives its memory back when its batches are done."""
+
+    @functools.wraps(scan)
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 #: Rows of an Arrow batch for operators that send texts to Python, so that a worker holds a few MB of them.
 BATCH_ROWS = 1000
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, small_batches
+from .common import need, returning, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", tex
             )
 
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in out)
-    return source.mapInArrow(scan, f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(returning(scan), f"{schema}, lang_pred string, score double")
 
 
 def _by_size(places: list[int], texts: list[str], most: int = 1 << 20) -> Iterator[list[int]]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, durable, mix, need, small_batches
+from .common import Words, durable, mix, need, returning, small_batches
 from .components import components
 
 PLACES = 1 << 21
@@ -99,7 +99,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc", "n", "fp", "bands"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(scan, f"doc {kind}, n long, fp binary, bands array<long>")
+    return docs.mapInArrow(returning(scan), f"doc {kind}, n long, fp binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -115,7 +115,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc", "set"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(scan, f"doc {kind}, set array<long>")
+    return docs.mapInArrow(returning(scan), f"doc {kind}, set array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -15,6 +15,7 @@ packed on its own; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, need, partitions, small_batches
+from .common import durable, need, partitions, returning, small_batches
 
 DIMENSIONS, BITS = 4, 12
 
@@ -62,6 +63,7 @@ class WordTokens(dict):
     LIMIT = 250_000
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -110,7 +112,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
                 )
 
     kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(scan, f"`{id_col}` {kind}, curve long, ids binary, width int")
+    return source.mapInArrow(returning(scan), f"`{id_col}` {kind}, curve long, ids binary, width int")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,7 +164,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
                         at, sequence, room = 0, sequence + 1, 1 << max(0, left.bit_length() - 1)
             yield batch_of(rest)
 
-    return ordered.select(id_col, "ids", "width").mapInArrow(cut, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return ordered.select(id_col, "ids", "width").mapInArrow(returning(cut), f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def query(docs: DataFrame, tokenizer_path: str) -> DataFrame:
