@@ -265,7 +265,7 @@ def test_packing_round_trip(spark, docs, rows):
 
     path = tokenizer("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    odd = [(10_000 + i, x) for i, x in enumerate(["á b", "x\x1cy\x85z w", "it's we'll don't", "İstanbul ΑΣ", "<|endoftext|> tail", None, "", "日本語 text", "́ lone"])]
+    odd = [(10_000 + i, x) for i, x in enumerate(["á b", "x\x1cy\x85z w", "it's we'll don't", "İstanbul ΑΣ", "<|endoftext|> tail", "<|ENDOFTEXT|> A, b. C", "The end. Of,it a1. b2, É. ß, x.\ny", None, "", "日本語 text", "́ lone"])]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string")).withColumn("offset", F.lit("x")).withColumn("tie", F.lit("x"))
     pieces = packing.pack(df, path).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)

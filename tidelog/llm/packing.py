@@ -16,6 +16,7 @@ packed on its own; an empty table gives an empty result; other columns are ignor
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +59,11 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class WordTokens(dict):
-    """Word -> its ids as little-endian unsigned 16-bit bytes (32-bit if the vocabulary is larger), remembered up to LIMIT entries."""
+    """Word -> its ids as little-endian unsigned 16-bit bytes (32-bit if the vocabulary is larger).
+
+    Remembered in two generations of up to LIMIT entries: when one is full it becomes the older one, and words that are
+    seen again move on, so frequent words stay and memory is bounded.
+    """
 
     LIMIT = 250_000
 
@@ -68,23 +73,43 @@ class WordTokens(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.older: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
         """Encode the words that are not known yet in one call."""
-        if len(self) + len(words) > self.LIMIT:
+        if len(self) > self.LIMIT:
+            self.older = dict(self)
             self.clear()
-        new = [w for w in words if w not in self]
+        new, older = [], self.older
+        for w in words - self.keys():
+            if w in older:
+                self[w] = older[w]
+            else:
+                new.append(w)
         for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, self.kind).tobytes()
 
 
+_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
+
+
+def split(text: str | None) -> list[bytes]:
+    """Parts that the tokenizer encodes on their own: words between ASCII white space, in lower case, a final stop or comma apart.
+
+    The tokenizer lowers case itself, and splits a letter or digit from punctuation, so the ids are the same and fewer words
+    are new. Texts that may hold special tokens keep their case, as those are matched before case is lowered.
+    """
+    raw = (text or "").encode()
+    return _STOP.sub(rb" \1", raw if b"<|" in raw else raw.lower()).split()
+
+
 def encode(texts: list[str | None], known: WordTokens, end_id: int) -> list[bytes]:
     """Ids of each text, with the end id, as bytes."""
     end, out = np.array([end_id], known.kind).tobytes(), []
-    split = [(t or "").encode().split() for t in texts]  # bytes split at ASCII white space alone
-    known.learn({w for words in split for w in words})
-    for words in split:
-        out.append(b"".join(map(known.__getitem__, words)) + end)
+    words = [split(t) for t in texts]
+    known.learn({w for x in words for w in x})
+    for x in words:
+        out.append(b"".join(map(known.__getitem__, x)) + end)
     return out
 
 
