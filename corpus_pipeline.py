@@ -61,7 +61,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The stages hash, learn and tokenize, which SQL cannot express; tests compare them with plain versions.
+#: The stages hash, learn and tokenize, which SQL cannot express; the operators are tested against plain versions, the chain is not yet.
 ORACLE_SQL = None
 
 
