@@ -15,6 +15,7 @@ packed on its own; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -58,52 +59,98 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+#: How the lower-casing word tokenizer prepares text. Only for one that does so, plain words take the short way.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Words of lower-case ASCII and Latin-1 letters: preparing leaves them as they are, in one piece.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+
+
 class WordTokens(dict):
     """Word -> its ids as little-endian unsigned 16-bit bytes (32-bit if the vocabulary is larger).
 
     Remembered in two generations of up to LIMIT entries: when one is full it becomes the older one, and words that are
-    seen again move on, so frequent words stay and memory is bounded.
+    seen again move on, so frequent words stay and memory is bounded. New words are encoded many at a time.
     """
 
     LIMIT = 250_000
+    TOGETHER = 4096
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if t.get_vocab_size() <= 65536 else "<u4")
         self.older: dict[bytes, bytes] = {}
+        self.last = None  # by id: whether it ends a word; None where words cannot take the short way
+        suffix = getattr(t.model, "end_of_word_suffix", None)
+        if suffix and _prepares_as_known(t):
+            self.lean = Tokenizer(t.model)
+            self.lean.normalizer = normalizers.Sequence([])
+            self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = t.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode the words that are not known yet in one call."""
+        """Encode the words that are not known yet."""
         if len(self) > self.LIMIT:
             self.older = dict(self)
             self.clear()
-        new, older = [], self.older
+        plain, other, older = [], [], self.older
         for w in words - self.keys():
             if w in older:
                 self[w] = older[w]
+            elif self.last is not None and _PLAIN.fullmatch(w):
+                plain.append(w)
             else:
-                new.append(w)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+                other.append(w)
+        for s in range(0, len(plain), self.TOGETHER):
+            part = plain[s : s + self.TOGETHER]
+            (e,) = self.lean.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+            ids = np.array(e.ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                raw, width, start = ids.tobytes(), self.kind.itemsize, 0
+                for w, end in zip(part, (ends * width).tolist(), strict=True):
+                    self[w] = raw[start:end]
+                    start = end
+            else:  # some letter's end form has no id
+                other += part
+        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, self.kind).tobytes()
 
 
-_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
+def _prepares_as_known(t) -> bool:
+    """Whether t prepares text by NORMALIZERS and PATTERN, byte by byte."""
+    if not (t.normalizer and t.pre_tokenizer):
+        return False
+    first, second = (json.loads(x.__getstate__()) for x in (t.normalizer, t.pre_tokenizer))
+    steps = second.get("pretokenizers", [])
+    return (
+        first.get("normalizers") == NORMALIZERS
+        and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+        and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": PATTERN}, "Removed", True)
+        and (steps[1]["add_prefix_space"], steps[1]["use_regex"]) == (False, False)
+    )
+
+
+_ENDING = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\xa0-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*(?=[ \n])")
 
 
-def split(text: str | None) -> list[bytes]:
-    """Parts that the tokenizer encodes on their own: words between ASCII white space, in lower case, a final stop or comma apart.
+def split(raw: bytes | None) -> list[bytes]:
+    """Parts of a UTF-8 text that the tokenizer encodes on their own: words between ASCII white space, in lower case, closing punctuation apart.
 
-    The tokenizer lowers case itself, and splits a letter or digit from punctuation, so the ids are the same and fewer words
-    are new. Texts that may hold special tokens keep their case, as those are matched before case is lowered.
+    The tokenizer lowers case itself, and splits a letter or digit from punctuation (but for apostrophes), so the ids are the
+    same and fewer words are new. Texts that may hold special tokens stay as they are, as those are matched in the raw text.
     """
-    raw = (text or "").encode()
-    return _STOP.sub(rb" \1", raw if b"<|" in raw else raw.lower()).split()
+    raw = raw or b""
+    return raw.split() if b"<|" in raw else _ENDING.sub(rb" \g<0>", raw.lower()).split()
 
 
-def encode(texts: list[str | None], known: WordTokens, end_id: int) -> list[bytes]:
+def encode(texts: list[bytes | None], known: WordTokens, end_id: int) -> list[bytes]:
     """Ids of each text, with the end id, as bytes."""
     end, out = np.array([end_id], known.kind).tobytes(), []
     words = [split(t) for t in texts]
@@ -124,7 +171,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
         for big in batches:
             for s in range(0, len(big), 500):
                 batch = big.slice(s, 500)
-                ids = encode(batch.column(1).to_pylist(), known, end_id)
+                ids = encode(batch.column(1).cast(pa.binary()).to_pylist(), known, end_id)
                 spots = np.empty((len(ids), DIMENSIONS), np.float32)
                 for i, raw in enumerate(ids):
                     x = np.frombuffer(raw, known.kind)
