@@ -64,7 +64,7 @@ NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Words of lower-case ASCII and Latin-1 letters: preparing leaves them as they are, in one piece.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+_PLAIN = re.compile(rb"(?:[a-z]++|\xc3[\xa0-\xb6\xb8-\xbf])++")
 
 
 class WordTokens(dict):
@@ -100,7 +100,7 @@ class WordTokens(dict):
             self.older = dict(self)
             self.clear()
         plain, other, older = [], [], self.older
-        for w in words - self.keys():
+        for w in [w for w in words if w not in self]:
             if w in older:
                 self[w] = older[w]
             elif self.last is not None and _PLAIN.fullmatch(w):
@@ -167,7 +167,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordTokens(tokenizer_path)
         table = np.random.default_rng(seed).normal(0, 1, (1 << 16, DIMENSIONS)).astype(np.float32)
-        side = 1 << BITS
+        side, ones = 1 << BITS, np.ones(65536, np.float32)
         for big in batches:
             for s in range(0, len(big), 500):
                 batch = big.slice(s, 500)
@@ -175,7 +175,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
                 spots = np.empty((len(ids), DIMENSIONS), np.float32)
                 for i, raw in enumerate(ids):
                     x = np.frombuffer(raw, known.kind)
-                    v = sum(table[x[k : k + 65536] & 0xFFFF].sum(axis=0) for k in range(0, len(x), 65536))
+                    v = sum(ones[: len(x) - k] @ table.take(x[k : k + 65536] & 0xFFFF, axis=0) for k in range(0, len(x), 65536))
                     spots[i] = 4 * v / len(x)
                 grid = np.clip((np.arctan(spots) / np.pi + 0.5) * side, 0, side - 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
