@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import language, minhash, mixing, packing, secrets
-from tidelog.llm.common import fresh
+from tidelog.llm.common import durable, fresh
 from tidelog.llm.queries import tokenizer
 
 #: A document whose language is unknown, or is told with less than this share, goes.
@@ -30,9 +30,16 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents, the one with the smallest id; of rows that share an id, one."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of near-duplicate documents, the one with the smallest id; of rows with the same id and text, one. Rows with a null id stay."""
+    rows = fresh(docs, "rows")
+    found = minhash.near_duplicates(docs).where(F.col("doc_id").isNotNull())
+    ids = durable(found.groupBy("doc_id").agg(F.count("*").alias(rows), F.min("kept").alias("kept")))
+    left = docs.join(ids.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti")
+    repeated = ids.where(F.col("kept") & (F.col(rows) > 1)).select("doc_id")
+    if not repeated.isEmpty():  # only then are texts compared
+        once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return left.select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +49,12 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    copies = fresh(docs, "copies")
-    taken = mixing.mix_sources(docs).where("copies > 0").select("doc_id", F.col("copies").alias(copies))
-    return docs.join(taken, "doc_id").withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)
+    """Documents as often as the mix takes them. Rows that share id and source (null ids do) are taken equally often, their mean, rounded."""
+    copies, i, source = (fresh(docs, c) for c in ("copies", "same_id", "same_source"))
+    key = (F.col("doc_id").alias(i), F.col("source").alias(source))
+    taken = mixing.mix_sources(docs).groupBy(*key).agg(F.round(F.avg("copies")).cast("int").alias(copies)).where(F.col(copies) > 0)
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(source)))
+    return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +70,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The stages hash, learn and tokenize, which SQL cannot express; the operators are tested against plain versions, the chain is not yet.
+#: The stages hash, learn and tokenize, which SQL cannot express; tests hold operators and chain against plain versions.
 ORACLE_SQL = None
 
 
