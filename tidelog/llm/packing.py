@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import durable, need, partitions, returning, small_batches
 
 DIMENSIONS, BITS = 4, 12
+#: Documents whose words are held at once.
+SLICE = 125
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -169,8 +171,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
         table = np.random.default_rng(seed).normal(0, 1, (1 << 16, DIMENSIONS)).astype(np.float32)
         side, ones = 1 << BITS, np.ones(65536, np.float32)
         for big in batches:
-            for s in range(0, len(big), 500):
-                batch = big.slice(s, 500)
+            for s in range(0, len(big), SLICE):
+                batch = big.slice(s, SLICE)
                 ids = encode(batch.column(1).cast(pa.binary()).to_pylist(), known, end_id)
                 spots = np.empty((len(ids), DIMENSIONS), np.float32)
                 for i, raw in enumerate(ids):
