@@ -287,6 +287,19 @@ def test_packing_round_trip(spark, docs, rows):
     assert r.ids_crc32 == zlib.crc32(np.array([*t.encode("a b", add_special_tokens=False).ids, 1], "<u4").tobytes()[: 4 * r.length])
 
 
+def test_fast_encoder_gives_the_tokenizers_ids():
+    """Every plain vocabulary entry, and random words of ASCII and Latin-1 letters in either case, long ones too."""
+    path, rng = tokenizer("word_bpe_49k.json"), random.Random(12)
+    known, (t, _, fast) = packing.WordTokens(path), packing.load(path)
+    assert fast and packing.load(tokenizer("byte_bpe_50k.json"))[2] is None
+    letters = "abcdefghijklmnopqrstuvwxyz" * 3 + "ßàéñöüÿÀÉÑÖÜÞ×÷aaaaeeeennn"
+    words = {"".join(rng.choice(letters) for _ in range(rng.choice((1, 3, 8, 20, 63, 64, 65, 500)))) for _ in range(5000)}
+    words |= {w.removesuffix("</w>") for w in t.get_vocab() if w.removesuffix("</w>").isascii() and "<|" not in w}
+    words = sorted(w for w in words if w)
+    for w, e, raw in zip(words, t.encode_batch(words, add_special_tokens=False), packing.encode([w.encode() for w in words], known, 1), strict=True):
+        assert np.frombuffer(raw, known.kind).tolist() == [*e.ids, 1], w
+
+
 def test_hilbert_curve_is_continuous():
     side = 8
     grid = np.stack(np.meshgrid(*[np.arange(side)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)

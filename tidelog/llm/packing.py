@@ -7,7 +7,8 @@ partition is cut into sequences of ``length`` tokens. Only a partition's last se
 into sequences whose lengths are powers of two, which need no padding.
 
 Tokens: the tokenizer's ids of the whole text, then the end id. Its normaliser and pre-tokenizer never look across white
-space, so words between ASCII white space are encoded once and remembered.
+space, so words between ASCII white space are encoded once and remembered. Plain words go through a faster encoder with the
+same vocabulary where that is known to give the same ids (see ``load``).
 
 Results for special input: null and empty texts are the end id alone; ids, null or repeated, are passed through, each row
 packed on its own; an empty table gives an empty result; other columns are ignored; ties on the curve go by a hash of the id, then the id.
@@ -15,10 +16,12 @@ packed on its own; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -65,78 +68,112 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Words of lower-case ASCII and Latin-1 letters: preparing leaves them as they are, in one piece.
-_PLAIN = re.compile(rb"(?:[a-z]++|\xc3[\xa0-\xb6\xb8-\xbf])++")
+#: Letters of lower-case ASCII and of Latin-1, at most LONGEST bytes: preparing them is lower case only, in one piece.
+_PLAIN = re.compile(rb"(?:[a-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++")
+LONGEST = 64
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+@functools.lru_cache(1)
+def load(path: str):
+    """The tokenizer at path, its number of ids, and where possible a faster encoder of the same ids for plain words, each followed by a space.
+
+    The encoder is tiktoken's over the same vocabulary, the end of a word written as a space. It merges whatever two parts
+    make the entry of least id, while the tokenizer merges by its list of pairs. Both give the same ids if ids rise along
+    that list and follow those of all bytes: an entry is made by one pair only, and where no merge crosses its ends, its
+    bytes merge as they do alone. Where this does not hold there is no such encoder.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    ids, model, fast = t.get_vocab(), json.loads(t.to_str())["model"], None
+    end = model.get("end_of_word_suffix")
+    if model["type"] == "BPE" and end and not (model["dropout"] or model["continuing_subword_prefix"]) and _prepares_as_known(t):
+        alphabet = _byte_alphabet()
+        pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        entries = [*(c + e for c in alphabet for e in ("", end)), *(a + b for a, b in pairs)]
+        singles, order = 2 * len(alphabet), [model["vocab"].get(w, -1) for w in entries]
+        if min(order) >= 0 and all(x < y for x, y in pairwise([max(order[:singles]), *order[singles:]])):
+            import tiktoken
+
+            as_bytes = lambda w: bytes(alphabet[c] for c in w.removesuffix(end)) + (b" " if w.endswith(end) else b"")
+            ranks = {as_bytes(w): i for w, i in zip(entries, order, strict=True)}
+            if len(ranks) == len(entries):
+                fast = tiktoken.Encoding("words", pat_str="[^ ]++ ", mergeable_ranks=ranks, special_tokens={})
+    last = np.zeros(max(ids.values()) + 1, bool)
+    last[[i for w, i in ids.items() if end and w.endswith(end)]] = True
+    return t, last, fast
+
+
+def _prepares_as_known(t) -> bool:
+    """Whether t prepares text by NORMALIZERS and PATTERN, byte by byte."""
+    if not (t.normalizer and t.pre_tokenizer):
+        return False
+    first, second = (json.loads(x.__getstate__()) for x in (t.normalizer, t.pre_tokenizer))
+    steps = second.get("pretokenizers", [])
+    return (
+        first.get("normalizers") == NORMALIZERS
+        and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+        and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": PATTERN}, "Removed", True)
+        and (steps[1]["add_prefix_space"], steps[1]["use_regex"]) == (False, False)
+    )
 
 
 class WordTokens(dict):
     """Word -> its ids as little-endian unsigned 16-bit bytes (32-bit if the vocabulary is larger).
 
     Remembered in two generations of up to LIMIT entries: when one is full it becomes the older one, and words that are
-    seen again move on, so frequent words stay and memory is bounded. New words are encoded many at a time.
+    seen again move on, so frequent words stay and memory is bounded. Looking up a word that is not known gives None and
+    notes it; ``learn`` encodes what was noted, many at a time.
     """
 
     LIMIT = 250_000
     TOGETHER = 4096
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.tokenizer = t = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if t.get_vocab_size() <= 65536 else "<u4")
+        self.tokenizer, self.last, self.fast = load(path)
+        self.kind = np.dtype("<u2" if len(self.last) <= 65536 else "<u4")
         self.older: dict[bytes, bytes] = {}
-        self.last = None  # by id: whether it ends a word; None where words cannot take the short way
-        suffix = getattr(t.model, "end_of_word_suffix", None)
-        if suffix and _prepares_as_known(t):
-            self.lean = Tokenizer(t.model)
-            self.lean.normalizer = normalizers.Sequence([])
-            self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            vocabulary = t.get_vocab()
-            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.last[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the words that are not known yet."""
+        self.new: set[bytes] = set()
+
+    def __missing__(self, word: bytes) -> bytes | None:
+        ids = self.older.get(word)
+        if ids is None:
+            self.new.add(word)
+        else:
+            self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        """Start a new generation if this one is full."""
         if len(self) > self.LIMIT:
             self.older = dict(self)
             self.clear()
-        plain, other, older = [], [], self.older
-        for w in [w for w in words if w not in self]:
-            if w in older:
-                self[w] = older[w]
-            elif self.last is not None and _PLAIN.fullmatch(w):
-                plain.append(w)
-            else:
-                other.append(w)
+
+    def learn(self) -> None:
+        """Encode the noted words."""
+        plain, other = [], []
+        for w in self.new:
+            short = self.fast and len(w) <= LONGEST and ((w.isalpha() and w.islower()) or _PLAIN.fullmatch(w))
+            (plain if short else other).append(w)
+        width = self.kind.itemsize
         for s in range(0, len(plain), self.TOGETHER):
             part = plain[s : s + self.TOGETHER]
-            (e,) = self.lean.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
-            ids = np.array(e.ids, self.kind)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part):
-                raw, width, start = ids.tobytes(), self.kind.itemsize, 0
-                for w, end in zip(part, (ends * width).tolist(), strict=True):
-                    self[w] = raw[start:end]
-                    start = end
-            else:  # some letter's end form has no id
-                other += part
+            ids = np.array(self.fast.encode_ordinary(b" ".join([*part, b""]).decode().lower()), self.kind)
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, ((np.flatnonzero(self.last[ids]) + 1) * width).tolist(), strict=True):
+                self[w] = raw[start:end]
+                start = end
         for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, self.kind).tobytes()
-
-
-def _prepares_as_known(t) -> bool:
-    """Whether t prepares text by NORMALIZERS and PATTERN, byte by byte."""
-    if not (t.normalizer and t.pre_tokenizer):
-        return False
-    first, second = (json.loads(x.__getstate__()) for x in (t.normalizer, t.pre_tokenizer))
-    steps = second.get("pretokenizers", [])
-    return (
-        first.get("normalizers") == NORMALIZERS
-        and [x["type"] for x in steps] == ["Split", "ByteLevel"]
-        and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": PATTERN}, "Removed", True)
-        and (steps[1]["add_prefix_space"], steps[1]["use_regex"]) == (False, False)
-    )
+        self.new.clear()
 
 
 _ENDING = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\xa0-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*(?=[ \n])")
@@ -154,11 +191,19 @@ def split(raw: bytes | None) -> list[bytes]:
 
 def encode(texts: list[bytes | None], known: WordTokens, end_id: int) -> list[bytes]:
     """Ids of each text, with the end id, as bytes."""
-    end, out = np.array([end_id], known.kind).tobytes(), []
-    words = [split(t) for t in texts]
-    known.learn({w for x in words for w in x})
-    for x in words:
-        out.append(b"".join(map(known.__getitem__, x)) + end)
+    known.turn()
+    end, found = np.array([end_id], known.kind).tobytes(), []
+    for t in texts:
+        words = split(t)
+        ids = list(map(known.__getitem__, words))
+        found.append((ids, [(i, words[i]) for i, x in enumerate(ids) if x is None]))
+    known.learn()
+    out = []
+    for ids, gaps in found:
+        for i, w in gaps:
+            ids[i] = known[w]
+        ids.append(end)
+        out.append(b"".join(ids))
     return out
 
 
