@@ -49,12 +49,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them. Rows that share id and source (null ids do) are taken equally often, their mean, rounded."""
-    copies, i, source = (fresh(docs, c) for c in ("copies", "same_id", "same_source"))
-    key = (F.col("doc_id").alias(i), F.col("source").alias(source))
-    taken = mixing.mix_sources(docs).groupBy(*key).agg(F.round(F.avg("copies")).cast("int").alias(copies)).where(F.col(copies) > 0)
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(source)))
-    return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
+    """Documents as often as the mix takes them, each row by its own choice whatever its id."""
+    row, copies = fresh(docs, "row"), fresh(docs, "copies")
+    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = mixing.mix_sources(numbered, id_col=row, tie_cols=("doc_id", "source", "text")).where("copies > 0").select(row, F.col("copies").cast("int").alias(copies))
+    return numbered.join(taken, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

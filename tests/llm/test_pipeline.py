@@ -114,3 +114,22 @@ def test_odd_rows(spark):
         out.collect()
         assert stage(spark, docs.limit(0), "").collect() == []
     assert corpus_pipeline.packed(spark, docs, "").count() >= len(some)
+
+
+@pytest.mark.parametrize("shared", (None, 7))
+def test_mixing_decides_for_each_row(spark, shared):
+    """Rows with a null id, or one id, meet the targets as others do."""
+    some = [(shared, f"t{i} " + "w " * (i % 7), "en", "abcd"[i % 4 if i % 3 else 0], i) for i in range(400)]
+    docs = spark.createDataFrame(some, DOC)
+    size, total, most, taken = (lambda t: len(brute.words(t))), defaultdict(int), defaultdict(int), defaultdict(int)
+    for _, t, _, s, _ in some:
+        total[s], most[s] = total[s] + size(t), max(most[s], size(t))
+    after = corpus_pipeline.mixed(spark, docs, "").collect()
+    for r in after:
+        taken[r.source] += size(r.text)
+    want = mixing.targets(list(total.items()))
+    assert any(0.1 < want[s] / total[s] < 0.5 for s in total)
+    assert all(abs(taken[s] - want[s]) <= most[s] for s in total), (dict(taken), want)
+    assert {tuple(r) for r in after} <= set(some)
+    again = corpus_pipeline.mixed(spark, docs.repartition(5, "n_chars"), "")
+    assert rows(again) == sorted(map(tuple, after))

@@ -89,7 +89,7 @@ def _round(units: DataFrame, chunks: str, last: bool, seed: int) -> DataFrame:
     schema = units.schema
 
     def group(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("tie", "ascending"), ("size", "ascending")])
+        t = t.sort_by([("tie", "ascending"), ("size", "ascending"), ("id", "ascending")])
         z, p = t["size"].to_pylist(), t["p"].to_pylist()
         source, chunk = t["source"][0].as_py(), t["chunk"][0].as_py()
         p = flight(p, z, random.Random(f"{seed}:{source}:{chunk}"))
@@ -102,10 +102,14 @@ def _round(units: DataFrame, chunks: str, last: bool, seed: int) -> DataFrame:
     return units.select("*", chunk).groupBy("source", "chunk").applyInArrow(group, fields)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> DataFrame:
-    """One row per document: id, size, source, source_size, target, copies (how often it is taken)."""
-    size = need(docs, *dict.fromkeys((id_col, source_col, text_col)))
-    sized = durable(size.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")))
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, tie_cols: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, size, source, source_size, target, copies (how often it is taken).
+
+    Documents are put in chunks and order by a hash of tie_cols, by default of id and size.
+    """
+    size = need(docs, *dict.fromkeys((id_col, source_col, text_col, *tie_cols)))
+    ties = [F.xxhash64(*tie_cols).alias("tie")] if tie_cols else []
+    sized = durable(size.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *ties))
     return mixed(sized, seed).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies")
 
 
@@ -121,7 +125,9 @@ def mixed(sized: DataFrame, seed: int) -> DataFrame:
     plan = spark.createDataFrame(rows, "s string, source_size long, target double, base int, p double, chunks long").coalesce(1)
     if len(rows) <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    units = sized.join(plan, sized["source"].eqNullSafe(plan["s"])).drop("s").withColumn("tie", F.xxhash64("id", "size"))
+    units = sized.join(plan, sized["source"].eqNullSafe(plan["s"])).drop("s")
+    if "tie" not in units.columns:
+        units = units.withColumn("tie", F.xxhash64("id", "size"))
     open_ = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
     done, left = units.where(~open_), units.where(open_)
     most = max((r[5] for r in rows), default=1)
