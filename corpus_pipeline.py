@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import language, minhash, mixing, packing, secrets
-from tidelog.llm.common import durable, fresh
+from tidelog.llm.common import WORD_SPACE, durable, fresh
 from tidelog.llm.queries import tokenizer
 
 #: A document whose language is unknown, or is told with less than this share, goes.
@@ -30,16 +30,19 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents, the one with the smallest id; of rows with the same id and text, one. Rows with a null id stay."""
-    rows = fresh(docs, "rows")
-    found = minhash.near_duplicates(docs).where(F.col("doc_id").isNotNull())
-    ids = durable(found.groupBy("doc_id").agg(F.count("*").alias(rows), F.min("kept").alias("kept")))
-    left = docs.join(ids.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti")
-    repeated = ids.where(F.col("kept") & (F.col(rows) > 1)).select("doc_id")
-    if not repeated.isEmpty():  # only then are texts compared
-        once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        left = left.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return left.select(docs.columns)
+    """Of near-duplicate rows, whatever their ids, the one with the smallest id (null last), then the smallest hash of the text.
+
+    Rows without words are near nothing; of those with the same id and text one stays, and all with a null id.
+    """
+    row = fresh(docs, "row")
+    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+    text, blank = F.col("text"), ~F.coalesce(F.col("text").rlike(rf"[^{WORD_SPACE}]"), F.lit(False)) & F.col("doc_id").isNotNull()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(row).alias("row"))
+    keys = numbered.select(F.col(row).alias("r"), order.alias("order"), F.when(blank, F.col("doc_id")).alias("same_id"), F.when(blank, text).alias("same_text"), blank.alias("blank"))
+    found = minhash.near_duplicates(numbered, id_col=row).select(F.col(row).alias("n"), "component_id")
+    group = (F.when(~F.col("blank"), F.col("component_id")).alias("group"), "same_id", "same_text")
+    first = found.join(keys, F.col("n") == F.col("r")).groupBy(*group).agg(F.min("order").alias("first"))
+    return numbered.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,3 +133,20 @@ def test_mixing_decides_for_each_row(spark, shared):
     assert {tuple(r) for r in after} <= set(some)
     again = corpus_pipeline.mixed(spark, docs.repartition(5, "n_chars"), "")
     assert rows(again) == sorted(map(tuple, after))
+
+
+def test_near_duplicates_among_null_and_shared_ids(spark):
+    """Exact and near copies go whether their ids are null, shared or their own; the smallest id stays."""
+    some, group = [], {}
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for k in range(6):
+            words = base if k < 2 else [*base[:-1], f"end{k}"]
+            i = (None, 5, 5, 1000 + 10 * g + k)[(g + k) % 4] if g % 2 else None
+            some.append((i, " ".join(words), "en", "a", len(some)))
+            group[len(some) - 1] = g
+    some += [(5, " ", "en", "a", 100), (5, " ", "en", "a", 100), (5, None, "en", "a", 101), (None, "", "en", "a", 102), (None, "", "en", "a", 102)]
+    kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(some, DOC), "").collect()
+    assert sorted(r.n_chars for r in kept if r.n_chars >= 100) == [100, 101, 102, 102]
+    one = {group[r.n_chars]: r.doc_id for r in kept if r.n_chars < 100}
+    assert len(kept) == 4 + 8 and one == {g: min((some[k][0] for k in group if group[k] == g and some[k][0]), default=None) for g in range(8)}
