@@ -4,7 +4,9 @@ Base kinds are found by their patterns. The method adds candidates by entropy: o
 characters a window slides, character counts of its class alphabet are updated by the one character that enters and the
 one that leaves, and with them the sum of c * log2(c), from which the window's Shannon entropy follows. A candidate whose
 highest window entropy reaches the threshold of its class is a span, unless the allow-list knows it (placeholders,
-alphabets, runs of one character). Only the ``entropy`` kind is suppressed; base spans stay.
+alphabets, runs of one character). Only the ``entropy`` kind is suppressed; base spans stay. Windows that lie in a run of
+hexadecimal digits, of either case, have a class of their own. The values of ``name=value`` are candidates by themselves
+as well, so that a name neither hides nor excuses its value; a value within a longer span is no further span.
 
 Positions come from splitting a text at the matches: the lengths of the parts and of the matches alternate.
 
@@ -27,11 +29,13 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"(AKIA[A-Z0-9]+)"
 HEX = r"([0-9a-f]{32,})"
 CANDIDATE = r"([A-Za-z0-9+/_=-]{20,})"
+HEX_RUN = r"([0-9A-Fa-f]{20,})"
+VALUE = r"([A-Za-z0-9+/_-]{20,})"
 
 WINDOW = 20
 #: class: alphabet, threshold in bits over WINDOW characters
 CLASSES = {
-    "hex": ("0123456789abcdef", 3.0),
+    "hex": ("0123456789abcdefABCDEF", 3.0),
     "token": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.75),
 }
 ALLOW = r"(?i)example|sample|placeholder|change_?me|your[_-]|0123456789|1234567890|abcdefghij|(.)\1{7}"
@@ -75,9 +79,11 @@ def peak_entropy(value: Column, alphabet: str) -> Column:
 
 def random_looking(value: Column) -> Column:
     """Whether a candidate string reaches its class's threshold and is not on the allow-list."""
-    reaches = lambda name: peak_entropy(value, CLASSES[name][0]) >= CLASSES[name][1]
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(ALLOW)
-    return F.when(~mixed, F.lit(False)).when(value.rlike("^[0-9a-f]+$"), reaches("hex")).otherwise(reaches("token"))
+    reaches = lambda name, v: peak_entropy(v, CLASSES[name][0]) >= CLASSES[name][1]
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
+    runs = F.regexp_extract_all(value, F.lit(HEX_RUN), F.lit(1))
+    hexadecimal = F.when(value.rlike(HEX_RUN), F.exists(runs, lambda r: mixed(r) & reaches("hex", r))).otherwise(F.lit(False))
+    return F.when(~mixed(value) | value.rlike(ALLOW), F.lit(False)).when(hexadecimal, F.lit(True)).otherwise(reaches("token", value))
 
 
 def spans(text: Column) -> Column:
@@ -87,9 +93,12 @@ def spans(text: Column) -> Column:
     cue = F.lit(False)
     for word in ("passw", "secret", "token", "api"):
         cue = cue | low.contains(word)
-    candidates = F.filter(
-        located(text, CANDIDATE, "entropy", 1, WINDOW), lambda s: random_looking(F.substr(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-    )
+    strings = located(text, CANDIDATE, "entropy", 1, WINDOW)
+    strings = F.when(text.contains("="), F.array_union(strings, located(text, VALUE, "entropy", 1, WINDOW))).otherwise(strings)
+    part = lambda s: F.substr(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    found = F.filter(strings, lambda s: F.exists(F.array(part(s)), random_looking))  # a variable of a lambda is computed once
+    within = lambda s, o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    candidates = F.flatten(F.transform(F.array(found), lambda all_: F.filter(all_, lambda s: ~F.exists(all_, lambda o: within(s, o)))))
     return F.array_sort(
         F.concat(
             F.when(cue, located(text, ASSIGN, "assign", 2, 8)).otherwise(none),
