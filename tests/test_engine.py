@@ -252,6 +252,44 @@ def test_journal_damage(tmp_path):
         small(tmp_path)
 
 
+@pytest.mark.parametrize("damage", ("none", "missing", "cut", "renamed", "first", "last"))
+def test_journal_readers_want_every_sequence(tmp_path, damage):
+    """A missing segment, one cut at the end of a frame and one under another name fail a read and a stream."""
+    path, folder = str(tmp_path / "j"), tmp_path / "j.segments"
+    folder.mkdir()
+    payload = log.encode_batch(log.INCREMENTAL, [log.Op(0, 1, 1, True)])
+    for first in (1, 4, 7, 10):
+        (folder / f"segment-{first:016d}.psjs").write_bytes(log.segment_header(first) + b"".join(log.frame(s, payload) for s in range(first, first + 3)))
+    batch, stream = log.JournalReader({"path": path}), log.JournalStreamReader({"path": path})
+    start, end = stream.initialOffset(), stream.latestOffset()
+    assert (start, end) == ({"sequence": 1}, {"sequence": 13})
+    assert [r[0] for p in batch.partitions() for r in batch.read(p)] == [r[0] for p in stream.partitions(start, end) for r in stream.read(p)] == list(range(1, 13))
+    planned, file = batch.partitions(), lambda k: folder / f"segment-{k:016d}.psjs"
+    if damage == "missing":
+        file(4).unlink()
+    elif damage == "renamed":
+        file(4).rename(file(5))
+    elif damage in ("cut", "last"):
+        at = file(4 if damage == "cut" else 10)
+        at.write_bytes(at.read_bytes()[: -24 - len(payload)])
+    elif damage == "first":
+        file(1).unlink()
+    if damage == "none":
+        assert [r[0] for p in log.JournalReader({"path": path, "from": "5", "to": "8"}).partitions() for r in batch.read(p)] == [5, 6, 7]
+        return
+    with pytest.raises(IntegrityError):
+        stream.partitions(start, end)
+    if damage in ("missing", "cut", "renamed"):  # a batch cannot know where a journal began or went on
+        with pytest.raises(IntegrityError):
+            batch.partitions()
+        with pytest.raises(IntegrityError):
+            log.JournalReader({"path": path, "from": "6", "to": "7"}).partitions()
+        assert len(log.JournalReader({"path": path, "from": "8"}).partitions()) == 2
+    if damage in ("cut", "last"):
+        with pytest.raises(IntegrityError):
+            [list(batch.read(p)) for p in planned]
+
+
 def test_journal_source_and_sink(spark, tmp_path):
     rows = [(s, i, "checkpoint" if s == 1 else "incremental", "release" if (s, i) == (9, 1) else "snapshot", 0, i, 1, "l", 1, Decimal(s), bytes([s, i])) for s in range(1, 41) for i in range(2)]
     rows = [r[:7] + (None, None, None, None) if r[3] == "release" else r for r in rows]

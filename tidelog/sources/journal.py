@@ -152,6 +152,29 @@ def read_segment(path: str) -> tuple[int, list[tuple[int, bytes]]]:
     return first, out
 
 
+def segment_end(path: str) -> tuple[int, int]:
+    """First sequence and the one after the last, from the headers alone; payloads are checked where they are read."""
+    size, at = os.path.getsize(path), 24
+    with open(path, "rb") as f:
+        raw = f.read(24)
+        if len(raw) < 24:
+            raise IntegrityError(f"{path}: short header")
+        magic, version, _, _, first, check, zero = struct.unpack(">IBBHQII", raw)
+        if magic != SEGMENT_MAGIC or version != FORMAT or check != fnv(raw[:16]) or zero:
+            raise IntegrityError(f"{path}: bad segment header")
+        want = first
+        while at < size:
+            f.seek(at)
+            raw = f.read(24)
+            if len(raw) < 24:
+                raise IntegrityError(f"{path}: short frame header")
+            magic, version, _, _, sequence, length, _ = struct.unpack(">IBBHQII", raw)
+            if magic != FRAME_MAGIC or version != FORMAT or sequence != want or at + 24 + length > size:
+                raise IntegrityError(f"{path}: bad frame {want}")
+            at, want = at + 24 + length, want + 1
+    return first, want
+
+
 def segment_files(path: str) -> list[tuple[int, str]]:
     """(first sequence, file) in order; names tell the sequence."""
     folder = f"{path}.segments"
@@ -317,15 +340,18 @@ SCHEMA = "sequence long, op_idx int, kind string, op string, segment long, slot
 
 
 class SegmentPartition(InputPartition):
-    def __init__(self, file: str, low: int, high: int) -> None:
+    def __init__(self, file: str, low: int, high: int, first: int = 0, after: int = 0) -> None:
         super().__init__(file)
-        self.file, self.low, self.high = file, low, high
+        self.file, self.low, self.high, self.first, self.after = file, low, high, first, after
 
 
 def _rows(p: SegmentPartition) -> Iterator[tuple]:
     from decimal import Decimal
 
-    for sequence, payload in read_segment(p.file)[1]:
+    first, frames = read_segment(p.file)
+    if first != p.first or first + len(frames) < p.after:
+        raise IntegrityError(f"{p.file}: not the sequences that were planned")
+    for sequence, payload in frames:
         if not p.low <= sequence < p.high:
             continue
         kind, ops = decode_batch(payload)
@@ -335,13 +361,16 @@ def _rows(p: SegmentPartition) -> Iterator[tuple]:
 
 
 def _plan(path: str, low: int, high: int) -> list[SegmentPartition]:
-    """One partition per segment that can hold sequences of [low, high)."""
+    """One partition per segment that can hold sequences of [low, high); a gap or overlap at the end of one of them raises."""
     files = segment_files(path)
     out = []
-    for k, (first, file) in enumerate(files):
-        after = files[k + 1][0] if k + 1 < len(files) else 1 << 62
-        if first < high and after > low:
-            out.append(SegmentPartition(file, low, high))
+    for k, (name, file) in enumerate(files):
+        after = files[k + 1][0] if k + 1 < len(files) else None
+        if name < high and (after is None or after > low):
+            first, end = segment_end(file)
+            if first != name or after not in (None, end):
+                raise IntegrityError(f"{file}: sequence gap or overlap")
+            out.append(SegmentPartition(file, low, high, first, end))
     return out
 
 
@@ -363,17 +392,19 @@ class JournalStreamReader(DataSourceStreamReader):
         self.path, self.most = options["path"], int(options.get("maxsequencespertrigger", 1 << 31))
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"sequence": 1}
+        files = segment_files(self.path)  # acknowledged segments may be gone
+        return {"sequence": files[0][0] if files else 1}
 
     def latestOffset(self) -> dict:  # noqa: N802
         files = segment_files(self.path)
-        if not files:
-            return {"sequence": 1}
-        first, frames = read_segment(files[-1][1])
-        return {"sequence": first + len(frames)}
+        return {"sequence": segment_end(files[-1][1])[1] if files else 1}
 
     def partitions(self, start: dict, end: dict) -> list[SegmentPartition]:
-        return _plan(self.path, start["sequence"], end["sequence"])
+        low, high = start["sequence"], end["sequence"]
+        planned = _plan(self.path, low, high)
+        if high < low or low < high and not (planned and planned[0].first <= low and planned[-1].after >= high):
+            raise IntegrityError(f"{self.path}: sequences of [{low}, {high}) are missing")
+        return planned
 
     def read(self, partition: SegmentPartition) -> Iterator[tuple]:
         return _rows(partition)
