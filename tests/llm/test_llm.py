@@ -320,6 +320,17 @@ def test_fast_encoder_gives_the_tokenizers_ids():
         assert np.frombuffer(raw, known.kind).tolist() == [*e.ids, 1], w
 
 
+def test_marks_that_compose_in_lower_case_only():
+    path = tokenizer("word_bpe_49k.json")
+    known, (t, _, _) = packing.WordTokens(path), packing.load(path)
+    pairs = ["T\u0308", "J\u030c", "H\u0331", "W\u030a", "Y\u030a"]
+    marks = ["\u0300", "\u0308", "\u030a", "\u030c", "\u0325", "\u0331", "\u0338", "\u05b0", "\u1dc2"]
+    texts = [*pairs, *(f"AB{p}c {p.lower()}. X{p[0]}\u0325{p[1]} TH{p}, End." for p in pairs), *(c + m + n for c in "ABHIJKTWYhtjwy" for m in marks for n in marks)]
+    texts += [" ".join(texts), "ONE Two\tT\u0308.\nT \u0308 É. É", "<|endoftext|> T\u0308"]
+    for x, raw in zip(texts, packing.encode([x.encode() for x in texts], known, 1), strict=True):
+        assert np.frombuffer(raw, known.kind).tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], x
+
+
 def test_hilbert_curve_is_continuous():
     side = 8
     grid = np.stack(np.meshgrid(*[np.arange(side)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)

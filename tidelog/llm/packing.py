@@ -179,14 +179,32 @@ class WordTokens(dict):
 _ENDING = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\xa0-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*(?=[ \n])")
 
 
+_WORD = re.compile(rb"[^ \t-\r]++")
+
+
+def lowered(raw: bytes) -> bytes:
+    """raw with its ASCII capitals in lower case, but in words that hold a combining mark (U+0300 to U+036F, the only ones that compose with ASCII letters).
+
+    The tokenizer composes before it lowers case, and some marks compose with the lower-case letter only.
+    """
+    low = raw.lower()
+    if b"\xcc" not in raw and b"\xcd" not in raw:
+        return low
+    out = bytearray(low)
+    for m in _WORD.finditer(raw):
+        if b"\xcc" in m[0] or b"\xcd" in m[0]:
+            out[m.start() : m.end()] = m[0]
+    return bytes(out)
+
+
 def split(raw: bytes | None) -> list[bytes]:
-    """Parts of a UTF-8 text that the tokenizer encodes on their own: words between ASCII white space, in lower case, closing punctuation apart.
+    """Parts of a UTF-8 text that the tokenizer encodes on their own: words between ASCII white space, mostly in lower case, closing punctuation apart.
 
-    The tokenizer lowers case itself, and splits a letter or digit from punctuation (but for apostrophes), so the ids are the
+    The tokenizer lowers case itself (see lowered), and splits a letter or digit from punctuation (but for apostrophes), so the ids are the
     same and fewer words are new. Texts that may hold special tokens stay as they are, as those are matched in the raw text.
     """
     raw = raw or b""
-    return raw.split() if b"<|" in raw else _ENDING.sub(rb" \g<0>", raw.lower()).split()
+    return raw.split() if b"<|" in raw else _ENDING.sub(rb" \g<0>", lowered(raw)).split()
 
 
 def encode(texts: list[bytes | None], known: WordTokens, end_id: int) -> list[bytes]:
