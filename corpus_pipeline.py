@@ -16,16 +16,16 @@ from tidelog.llm import language, minhash, mixing, packing, secrets
 from tidelog.llm.common import WORD_SPACE, durable, fresh
 from tidelog.llm.queries import tokenizer
 
-#: A document whose language is unknown, or is told with less than this share, goes.
+#: A document whose language is unknown, or whose windows are each told with less than this score in the mean, goes.
 LEAST_SCORE = 0.5
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model tells; ``und`` and unsure ones go."""
-    pred, score = "lang_pred", "score"
+    """Documents whose windows are in languages that the model tells, be they several; ``und`` and unsure ones go."""
+    pred, score, sure = "lang_pred", "score", fresh(docs, "sure")
     clash = {c: fresh(docs, f"{c}_") for c in (pred, score) if c in docs.columns}
-    found = language.identify(docs.withColumnsRenamed(clash), language.learn(docs), keep=tuple(clash.get(c, c) for c in docs.columns))
-    kept = found.where((F.col(pred) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(pred, score)
+    found = language.identify(docs.withColumnsRenamed(clash), language.learn(docs), keep=tuple(clash.get(c, c) for c in docs.columns), sure=sure)
+    kept = found.where((F.col(pred) != language.UNKNOWN) & (F.col(sure) >= LEAST_SCORE)).drop(pred, score, sure)
     return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(docs.columns)
 
 

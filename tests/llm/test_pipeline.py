@@ -150,3 +150,14 @@ def test_near_duplicates_among_null_and_shared_ids(spark):
     assert sorted(r.n_chars for r in kept if r.n_chars >= 100) == [100, 101, 102, 102]
     one = {group[r.n_chars]: r.doc_id for r in kept if r.n_chars < 100}
     assert len(kept) == 4 + 8 and one == {g: min((some[k][0] for k in group if group[k] == g and some[k][0]), default=None) for g in range(8)}
+
+
+def test_documents_in_several_languages_stay(spark):
+    """Three languages in like parts, each told with certainty, leave no label a half."""
+    words = {"aa": "the cat sat on mat", "bb": "der hund und katze", "cc": "пёс кот дом лес"}
+    alone = [(i, " ".join([words[k]] * 30), k, "a", 0) for i, k in enumerate(sorted(words) * 20)]
+    several = (1000, "".join((" ".join([words[k]] * 300)).encode()[:2560].decode("utf-8", "ignore").ljust(10) for k in sorted(words)), None, "a", 0)
+    docs = spark.createDataFrame([*alone, several, (1001, "123 456", None, "a", 0)], DOC)
+    found = {r.doc_id: r for r in language.identify(docs, language.learn(docs)).collect()}
+    assert found[1000].score < corpus_pipeline.LEAST_SCORE
+    assert rows(corpus_pipeline.by_language(spark, docs, "").select("doc_id")) == [(i,) for i in (*range(60), 1000)]

@@ -166,8 +166,8 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> ByteCNN | None:
     return ByteCNN(labels).fit(np.frombuffer(b"".join(x), np.uint8).reshape(-1, WINDOW).astype(np.intp), np.array(y))
 
 
-def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The keep columns (by default the id) with lang_pred and score."""
+def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), sure: str | None = None) -> DataFrame:
+    """The keep columns (by default the id) with lang_pred and score, and if named, sure: the mean of each window's own best score, by bytes."""
     keep = keep or (id_col,)
     source = small_batches(docs.select(*dict.fromkeys((*keep, text_col))))
     place = source.columns.index(text_col)
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", tex
         tables = model.fold() if model else None
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            label, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            label, score, each = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             some = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
             for group in _by_size(some, texts):
                 raws = [texts[i].encode("utf-8", "replace") for i in group]
@@ -187,17 +187,17 @@ def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", tex
                 end = np.cumsum([len(w) for w in windows])
                 used = np.full(len(p), WINDOW, np.float32)
                 used[end - 1] = [len(r) - (len(w) - 1) * WINDOW for r, w in zip(raws, windows, strict=True)]
-                sums = np.add.reduceat(p * used[:, None], np.r_[0, end[:-1]], axis=0)
-                mean = sums / np.add.reduceat(used, np.r_[0, end[:-1]])[:, None]
-                for i, m in zip(group, mean, strict=True):
+                total = np.add.reduceat(used, np.r_[0, end[:-1]])
+                mean = np.add.reduceat(p * used[:, None], np.r_[0, end[:-1]], axis=0) / total[:, None]
+                tops = np.add.reduceat(p.max(axis=1) * used, np.r_[0, end[:-1]]) / total
+                for i, m, top in zip(group, mean, tops, strict=True):
                     best = int(m.argmax())
-                    label[i], score[i] = model.labels[best], min(1.0, float(m[best]))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in at), pa.array(label, pa.string()), pa.array(score, pa.float64())], [*out, "lang_pred", "score"]
-            )
+                    label[i], score[i], each[i] = model.labels[best], min(1.0, float(m[best])), min(1.0, float(top))
+            found = [pa.array(label, pa.string()), pa.array(score, pa.float64()), *([pa.array(each, pa.float64())] if sure else [])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in at), *found], [*out, "lang_pred", "score", *([sure] if sure else [])])
 
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in out)
-    return source.mapInArrow(returning(scan), f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(returning(scan), f"{schema}, lang_pred string, score double" + (f", `{sure}` double" if sure else ""))
 
 
 def _by_size(places: list[int], texts: list[str], most: int = 1 << 20) -> Iterator[list[int]]:
