@@ -271,6 +271,21 @@ def test_language_gradient():
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-4, k
 
 
+@pytest.mark.parametrize("shared", (None, 7))
+def test_language_sample_of_null_and_shared_ids(spark, shared):
+    """Rows that share an id neither crowd out other rows nor are left out; a rare label is taken whole."""
+    some = [(shared if i % 3 == 0 else i, f"text {i:05d} " * (1 + i % 200), "abc"[i % 4 % 3]) for i in range(3000)] + [(5000 + i, f"rare {i}", "rare") for i in range(9)]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    got = language.sample(df, "doc_id", "text", "lang", 50)
+    own, place = defaultdict(lambda: [0, 0]), lambda t: next(int(w) for w in t.split() if len(w) == 5)
+    assert sorted(t for k, t in got if k == "rare") == [f"rare {i}" for i in range(9)]
+    for k, t in got:
+        if k != "rare":
+            own[k][place(t) % 3 == 0] += 1
+    assert all(20 <= sum(n) <= 100 and min(n) > 3 for n in own.values()) and len(own) == 3, dict(own)
+    assert got == language.sample(df.repartition(7), "doc_id", "text", "lang", 50)
+
+
 def test_language_odd(spark):
     texts = ["hello there my friend"] * 8 + [None, "", "123 456 !!", "é", "word " * 30000]
     df = frame(spark, texts, ("x_", "held_out")).withColumn("lang", F.when(F.col("doc_id") < 6, F.lit("en")))

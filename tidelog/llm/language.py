@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import need, returning, small_batches
@@ -128,24 +128,27 @@ class ByteCNN:
 
 
 def sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_language: int) -> list[tuple[str, str]]:
-    """About rows_per_language (label, text) rows of each label, picked by a hash of the id; texts as excerpts of 2 * WINDOW characters from a hashed place.
+    """About rows_per_language (label, text) rows of each label, picked by a hash of id and text; texts as excerpts of 2 * WINDOW characters from a hashed place.
 
-    The counts by label come first, so that rare labels are taken whole and the rows that reach the driver are bounded
-    by rows_per_language times the number of labels.
+    The counts by label come first, so that rare labels are taken whole. Rows of one label, id and text are taken once.
+    Each label is bounded by itself, to 2 * rows_per_language, so no id and no label can crowd out others.
     """
     counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
     if not counts:
         return []
     span = 1 << 30
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(span))
+    by = (F.col(id_col).cast("string"), F.col(text_col))
+    key = F.pmod(F.xxhash64(*by), F.lit(span))
     under = F.lit(0)
     for label, n in sorted(counts.items()):
         under = F.when(F.col(label_col) == label, F.lit(min(span, int(span * rows_per_language / n) + 1))).otherwise(under)
     length = 2 * WINDOW
-    at = 1 + F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), F.greatest(F.length(text_col) - length, F.lit(1)).cast("long"))
-    picked = labelled.where(key < under).select(label_col, F.substring(F.col(text_col), at.cast("int"), F.lit(length)), key.alias("_key"), F.col(id_col))
-    rows = picked.orderBy("_key", id_col).limit(2 * rows_per_language * len(counts)).collect()
-    return [(r[0], r[1]) for r in rows]
+    at = 1 + F.pmod(F.xxhash64(*by, F.lit(1)), F.greatest(F.length(text_col) - length, F.lit(1)).cast("long"))
+    excerpt = F.substring(F.col(text_col), at.cast("int"), F.lit(length))
+    picked = labelled.where(key < under).select(F.col(label_col).alias("label"), excerpt.alias("excerpt"), F.xxhash64(*by).alias("hash"), key.alias("key")).distinct()
+    place = F.row_number().over(Window.partitionBy("label").orderBy("key", "hash", "excerpt"))
+    rows = picked.withColumn("place", place).where(F.col("place") <= 2 * rows_per_language).collect()
+    return [(r.label, r.excerpt) for r in sorted(rows, key=lambda r: (r.key, r.hash, r.label, r.excerpt))]
 
 
 def train(rows: list[tuple[str, str]], seed: int = 5) -> ByteCNN | None:
