@@ -389,7 +389,7 @@ class JournalStreamReader(DataSourceStreamReader):
     """Offsets are sequences; commit() is the acknowledgement, kept by the checkpoint of the query."""
 
     def __init__(self, options: dict) -> None:
-        self.path, self.most = options["path"], int(options.get("maxsequencespertrigger", 1 << 31))
+        self.path = options["path"]
 
     def initialOffset(self) -> dict:  # noqa: N802
         files = segment_files(self.path)  # acknowledged segments may be gone
