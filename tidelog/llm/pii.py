@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, small_batches
+from .common import need, slices
 
 #: Base kinds in their contract order, then the kinds this method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -37,8 +37,10 @@ _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"[ ]{0,2}[#:=]?[ ]{0,2}([0-9](?:[ -]?[0-9]){5,17})(?![A-Za-z0-9])")
-_HOUSE = re.compile(r"(?<![A-Za-z0-9])[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}$")
-_LOGIN = re.compile(r"[A-Za-z0-9._%+-]+(?::[^\s@/]{1,256})?@[A-Za-z0-9.-]+")
+_LEAD = re.compile(r"[ ]{0,2}[:=]?[ ]{0,2}")
+_LOGIN = re.compile(r"[A-Za-z0-9._%+-]++(?::[^\s@/]++)?@[A-Za-z0-9.-]+")
+#: A street address has one to so many capitalised words between its number, of up to so many digits, and its cue.
+STREET_WORDS, HOUSE_DIGITS = 3, 5
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -70,6 +72,26 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def house(text: str, end: int) -> int:
+    """Where a house number begins that capitalised words, each with a space before and after, lead from to end; -1 if there is none."""
+    if text[end - 1 : end] != " ":
+        return -1
+    end -= 1
+    for _ in range(STREET_WORDS):
+        at = end
+        while at and "a" <= text[at - 1] <= "z":
+            at -= 1
+        if at in (0, end) or not "A" <= text[at - 1] <= "Z" or text[at - 2 : at - 1] != " ":
+            return -1
+        end = at = at - 2
+        while at and "0" <= text[at - 1] <= "9":
+            at -= 1
+        if at < end:
+            before = text[at - 1 : at] if at else ""
+            return at if end - at <= HOUSE_DIGITS and not (before.isascii() and before.isalnum()) else -1
+    return -1
+
+
 def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(kind's place in KINDS, start, end) sorted by kind, then start; code points, end exclusive."""
     found: list[tuple[int, int, int]] = []
@@ -109,15 +131,15 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int
                     found.append((3, last, m.end()))
         elif tag == "A":
             at = last + 1
-            m = re.compile(r"[ ]{0,2}[:=]?[ ]{0,2}").match(text, at)
+            m = _LEAD.match(text, at)
             if (n := _IBAN.match(text, m.end())) and n.start() >= free[4] and iban(n[0]):
                 put(4, *n.span())
             elif (n := _ACCOUNT.match(text, at)) and n.start(1) >= free[5]:
                 put(5, *n.span(1))
         elif tag == "S":
             at = last + 1 - length
-            if not text[last + 1 : last + 2].isalnum() and (m := _HOUSE.search(text, max(0, at - 80), at)) and m.start() >= free[6]:
-                put(6, m.start(), last + 1)
+            if not text[last + 1 : last + 2].isalnum() and (start := house(text, at)) >= free[6]:
+                put(6, start, last + 1)
         elif (m := _LOGIN.match(text, last + 1)) and ":" in m[0] and last + 1 - length >= free[7]:
             put(7, last + 1 - length, m.end())
     found.sort()
@@ -129,13 +151,13 @@ SPANS = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and ``spans`` of (kind, start, end, value), sorted by kind as listed in KINDS, then start."""
-    source = small_batches(need(docs, id_col, text_col))
+    source = need(docs, id_col, text_col)
     kind = source.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
         typed = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "value": text[s:e]} for k, s, e in spans(text, anchors)] if text else [])
