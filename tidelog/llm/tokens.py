@@ -7,7 +7,8 @@ piece starts first wins; a character that is no piece on its own may be passed a
 runs of unknown characters are one unknown token, or one token per UTF-8 byte if the vocabulary has byte pieces.
 
 No piece of the vocabulary may hold a word mark after another character (checked on load), so the best path of a text
-is the best paths of its words side by side, and words are remembered. A character that is in no piece splits words too.
+is the best paths of its words side by side, and words are remembered, long ones not. A character that is in no piece splits
+words too. The search keeps as many positions as the longest piece has characters, whatever the length of a word.
 
 Null and empty texts have 0 tokens; ids, null or repeated, are passed through; other columns are ignored.
 The whole text counts, whatever its length.
@@ -22,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import need, small_batches
+from .common import REMEMBERED, need, slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -44,6 +45,7 @@ class Lexicon:
         for piece, score in self.scores.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.scores))
         #: what no piece holds ends a word; a space does too, as it becomes a mark
         known = {c for p in self.scores for c in p}
         self.breaks = re.compile("([^" + "".join(map(re.escape, sorted(known))) + "]+)")
@@ -64,29 +66,30 @@ class Lexicon:
 
     def count(self, word: str) -> int:
         """Viterbi over one word, all of whose characters are in some piece."""
-        n = len(word)
-        best: list[float | None] = [None] * (n + 1)
-        pieces, in_unknown, single = [0] * (n + 1), [False] * (n + 1), [False] * n
+        size = self.longest + 1  # positions that a piece can reach back to, in a ring
+        best: list[float | None] = [None] * size
+        pieces, in_unknown = [0] * size, [False] * size
         best[0] = 0.0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, (length, score) in self.automaton.iter(word):
-            ends[last + 1].append((length, score))
-            if length == 1:
-                single[last] = True
-        for end in range(1, n + 1):
-            top, at, unknown = None, -1, False
-            for length, score in ends[end]:  # longest first, so the earliest start wins ties
-                s = best[end - length]
+        matches = self.automaton.iter(word)
+        last, found = next(matches, (-1, None))
+        at = 0
+        for end in range(1, len(word) + 1):
+            before, at = at, at + 1 if at + 1 < size else 0
+            top, n, single, unknown = None, 0, False, False
+            while last == end - 1:  # longest first, so the earliest start wins ties
+                length, score = found
+                k = at - length if at >= length else at - length + size
+                s = best[k]
                 if s is not None and (top is None or s + score > top):
-                    top, at = s + score, end - length
-            if not single[end - 1] and best[end - 1] is not None and (top is None or best[end - 1] + self.unknown > top):
-                top, at, unknown = best[end - 1] + self.unknown, end - 1, True
-            best[end], in_unknown[end] = top, unknown
-            if unknown:
-                pieces[end] = pieces[at] + (self._outside(word[at]) if self.bytes else int(not in_unknown[at]))
-            else:
-                pieces[end] = pieces[at] + 1
-        return pieces[n]
+                    top, n = s + score, pieces[k] + 1
+                single = single or length == 1
+                last, found = next(matches, (-1, None))
+            s = best[before]
+            if not single and s is not None and (top is None or s + self.unknown > top):
+                top, unknown = s + self.unknown, True
+                n = pieces[before] + (self._outside(word[end - 1]) if self.bytes else int(not in_unknown[before]))
+            best[at], pieces[at], in_unknown[at] = top, n, unknown
+        return pieces[at]
 
     def tokens(self, text: str) -> int:
         """Tokens of a whole text: a leading word mark, spaces as word marks."""
@@ -100,9 +103,11 @@ class Lexicon:
             key = part if marks == 1 else MARK * (marks - 1) + part
             n = memo.get(key)
             if n is None:
-                if len(memo) >= self.LIMIT:
-                    memo.clear()
-                n = memo[key] = self._part(MARK + key)
+                n = self._part(MARK + key)
+                if len(key) <= REMEMBERED:
+                    if len(memo) >= self.LIMIT:
+                        memo.clear()
+                    memo[key] = n
             total, marks = total + n, 1
         return total + (self._part(MARK * (marks - 1)) if marks > 1 else 0)
 
@@ -114,11 +119,11 @@ class Lexicon:
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens (long) and n_chars_seen (long, code points of the text)."""
-    source = small_batches(need(docs, id_col, text_col))
+    source = need(docs, id_col, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon.from_sentencepiece(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([lexicon.tokens(t or "") for t in texts], pa.int64()), pa.array([len(t or "") for t in texts], pa.int64())],
