@@ -2,11 +2,11 @@
 
 Text is cut into windows of a fixed number of UTF-8 bytes; the whole text is read. The network embeds each byte,
 applies filters of several widths, max-pools over the window and ends in a softmax. It is trained with numpy on a
-bounded sample of labelled rows (``rows_per_language``, a parameter). For scoring, embedding and filters are folded
+bounded sample of windows of labelled rows (``rows_per_language`` and ``windows_per_row``, parameters). For scoring, embedding and filters are folded
 into lookup tables over byte pairs, so a filter response is a sum of one or two table rows: the same function, without
 the multiplications. A document's distribution is the mean over its windows, weighted by their bytes.
 
-Results for special input: null text, or text without a letter, is ``und`` with score 0; null or repeated ids are
+Results for special input: null text, or text without a letter (Unicode category L), is ``und`` with score 0; null or repeated ids are
 passed through; rows with a null label are never learned from; an empty table gives an empty result, and with no
 labelled rows every document is ``und`` with score 0; other columns are ignored. Ties go to the first label in order.
 """
@@ -21,12 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need, returning, small_batches
+from .common import need, returning, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+MOST_LABELS = 10_000
+_LETTER = re.compile(r"[^\W\d_]+")  # letters, and numbers that are no decimal digits, such as a half
+
+
+def has_letter(text: str) -> bool:
+    """Whether text has a character of the Unicode category L."""
+    return any(any(map(str.isalpha, m[0])) for m in _LETTER.finditer(text))
 
 
 def cut(raw: bytes) -> np.ndarray:
@@ -127,62 +133,65 @@ class ByteCNN:
         return out
 
 
-def sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_language: int) -> list[tuple[str, str]]:
-    """About rows_per_language (label, text) rows of each label, picked by a hash of id and text; texts as excerpts of 2 * WINDOW characters from a hashed place.
+def sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_language: int, windows_per_row: int = 2) -> list[tuple[str, str]]:
+    """About rows_per_language rows of each label, picked by a hash of id and text; of each row windows_per_row windows, as (label, window).
 
-    The counts by label come first, so that rare labels are taken whole. Rows of one label, id and text are taken once.
-    Each label is bounded by itself, to 2 * rows_per_language, so no id and no label can crowd out others.
+    Windows of WINDOW characters are picked by hash from anywhere in the whole text. The counts by label come first, so that rare
+    labels are taken whole. Rows of one label, id and text are taken once. Each label is bounded by itself, to
+    2 * rows_per_language, so no id and no label can crowd out others. More than MOST_LABELS labels are no languages: an error.
     """
-    counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
+    counts = [tuple(r) for r in labelled.groupBy(label_col).count().limit(MOST_LABELS + 1).collect()]
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     if not counts:
         return []
     span = 1 << 30
     by = (F.col(id_col).cast("string"), F.col(text_col))
     key = F.pmod(F.xxhash64(*by), F.lit(span))
-    under = F.lit(0)
-    for label, n in sorted(counts.items()):
-        under = F.when(F.col(label_col) == label, F.lit(min(span, int(span * rows_per_language / n) + 1))).otherwise(under)
-    length = 2 * WINDOW
-    at = 1 + F.pmod(F.xxhash64(*by, F.lit(1)), F.greatest(F.length(text_col) - length, F.lit(1)).cast("long"))
-    excerpt = F.substring(F.col(text_col), at.cast("int"), F.lit(length))
-    picked = labelled.where(key < under).select(F.col(label_col).alias("label"), excerpt.alias("excerpt"), F.xxhash64(*by).alias("hash"), key.alias("key")).distinct()
-    place = F.row_number().over(Window.partitionBy("label").orderBy("key", "hash", "excerpt"))
-    rows = picked.withColumn("place", place).where(F.col("place") <= 2 * rows_per_language).collect()
-    return [(r.label, r.excerpt) for r in sorted(rows, key=lambda r: (r.key, r.hash, r.label, r.excerpt))]
+    under = labelled.sparkSession.createDataFrame([(label, min(span, int(span * rows_per_language / n) + 1)) for label, n in counts], "label string, under long")
+    windows = []
+    for k in range(windows_per_row):
+        at = 1 + F.pmod(F.xxhash64(*by, F.lit(1 + k)), F.greatest(F.length(text_col) - WINDOW + 1, F.lit(1)).cast("long"))
+        windows.append(F.substring(F.col(text_col), at.cast("int"), F.lit(WINDOW)))
+    rows = labelled.select(F.col(label_col).cast("string").alias("label"), key.alias("key"), F.xxhash64(*by).alias("hash"), F.array(*windows).alias("windows"))
+    picked = rows.join(F.broadcast(under), "label").where("key < under").drop("under").distinct()
+    place = F.row_number().over(Window.partitionBy("label").orderBy("key", "hash", "windows"))
+    found = picked.withColumn("place", place).where(F.col("place") <= 2 * rows_per_language).collect()
+    return [(r.label, w) for r in sorted(found, key=lambda r: (r.key, r.hash, r.label, r.windows)) for w in r.windows]
 
 
 def train(rows: list[tuple[str, str]], seed: int = 5) -> ByteCNN | None:
-    """Windows of mixed lengths, so that short texts are known too."""
+    """A model from (label, window) rows. Of each, a part of mixed length is learned too, so that short texts are known."""
     rng = np.random.default_rng(seed)
     labels = sorted({label for label, _ in rows})
     if not labels:
         return None
     x, y = [], []
-    for label, text in rows:
+    for k, (label, text) in enumerate(rows):
         raw = text.encode("utf-8", "replace")
-        for size in (WINDOW, int(2 ** rng.uniform(2.5, 8))):
-            at = int(rng.integers(0, max(1, len(raw) - size)))
-            part = raw[at : at + size]
-            if part:
-                x.append(part + b"\0" * (WINDOW - len(part)))
-                y.append(labels.index(label))
+        size = WINDOW if k % 2 else int(2 ** rng.uniform(2.5, 8))
+        at = int(rng.integers(0, max(1, len(raw) - size + 1)))
+        part = raw[at : at + size]
+        if part:
+            x.append(part + b"\0" * (WINDOW - len(part)))
+            y.append(labels.index(label))
     return ByteCNN(labels).fit(np.frombuffer(b"".join(x), np.uint8).reshape(-1, WINDOW).astype(np.intp), np.array(y))
 
 
 def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), sure: str | None = None) -> DataFrame:
     """The keep columns (by default the id) with lang_pred and score, and if named, sure: the mean of each window's own best score, by bytes."""
     keep = keep or (id_col,)
-    source = small_batches(docs.select(*dict.fromkeys((*keep, text_col))))
+    source = docs.select(*dict.fromkeys((*keep, text_col)))
     place = source.columns.index(text_col)
     out = [c for c in source.columns if c in keep]
     at = [source.columns.index(c) for c in out]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.fold() if model else None
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(place).to_pylist()
             label, score, each = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-            some = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+            some = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
             for group in _by_size(some, texts):
                 raws = [texts[i].encode("utf-8", "replace") for i in group]
                 windows = [cut(r) for r in raws]
@@ -221,10 +230,10 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, rows_per_language: int = 1500) -> ByteCNN | None:
+def learn(docs: DataFrame, rows_per_language: int = 1500, windows_per_row: int = 2) -> ByteCNN | None:
     """A model from the rows that are not held out and have a label and text."""
     known = need(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    return train(sample(known, "doc_id", "text", "lang", rows_per_language))
+    return train(sample(known, "doc_id", "text", "lang", rows_per_language, windows_per_row))
 
 
 def query(docs: DataFrame) -> DataFrame:
