@@ -6,9 +6,11 @@ constraints, the number of documents and the number of words (flight phase), unt
 a time, along the one direction that changes neither total. Each chunk of a source leaves at most two undecided
 documents; these meet in further flights, and the last two or fewer of a source are rounded so that the words fit best
 (landing phase). Chunks are by a hash of the document, so a hot source is many chunks, and all choices are seeded: reruns agree.
+Sources may be many: ranks, sizes and targets are columns of a table, and only sums over it reach the driver.
 
 Results for special input: a null text has size 0 and is taken with 0 words; a null source is a source of its own, last in
-order; null or repeated ids are separate documents; an empty table gives an empty result; other columns are ignored.
+order; null or repeated ids are separate documents; of more than CHUNK rows with one id and size, which are taken may differ if the input is cut
+into other partitions; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ from pyspark.sql import functions as F
 from .common import durable, need, word_count
 
 CHUNK = 1024
-#: Up to so many sources, the source table is broadcast; beyond, it is joined.
-BROADCAST_SOURCES = 10_000
+#: A table of sources or of frequent ties is broadcast up to so many rows; a longer one is joined.
+BROADCAST_ROWS = 10_000
 EPS = 1e-9
 
 
 def targets(sizes: list[tuple[str | None, int]], most: float = 3.0) -> dict[str | None, float]:
-    """Target words by source: weights 1, 2, 3, repeating, in code point order, null last; no target above most times the size."""
+    """Target words by source: weights 1, 2, 3, repeating, in code point order, null last; no target above most times the size. ``targeted`` is this on tables."""
     order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
     weight = {s: 1 + i % 3 for i, (s, _) in enumerate(order)}
     size = dict(order)
@@ -108,29 +110,67 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     Documents are put in chunks and order by a hash of tie_cols, by default of id and size.
     """
     size = need(docs, *dict.fromkeys((id_col, source_col, text_col, *tie_cols)))
-    ties = [F.xxhash64(*tie_cols).alias("tie")] if tie_cols else []
-    sized = durable(size.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *ties))
+    sized = size.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *([F.xxhash64(*tie_cols).alias("tie")] if tie_cols else []))
+    sized = durable(sized if tie_cols else sized.withColumn("tie", F.xxhash64("id", "size")))
     return mixed(sized, seed).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """Sources with ``place``, their number in code point order from 0, null last: sorted by ranges, each range numbered by itself."""
+    order = (F.col("source").isNull(), F.col("source"))
+    pieces = durable(sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    piece = F.shiftright("at", 33)
+    held = dict(pieces.groupBy(piece).count().collect())  # as many rows as partitions
+    first, begin = [], 0
+    for k in sorted(held):
+        first.append((k, begin))
+        begin += held[k]
+    begins = sources.sparkSession.createDataFrame(first, "piece long, begin long")
+    return pieces.join(F.broadcast(begins), piece == F.col("piece")).withColumn("place", F.col("begin") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "piece", "begin")
+
+
+def targeted(sources: DataFrame, most: float = 3.0) -> DataFrame:
+    """``targets`` on a table of any length (source, source_size): with weight w, a target is the smaller of most * size and level * w.
+
+    The level is that at which targets add up to all sizes. It only rises while sources above their bound are found, so it
+    is found in as many rounds; a round sends two sums to the driver.
+    """
+    s = ranked(sources).withColumn("w", 1 + F.col("place") % 3)
+    total, weight = s.agg(F.sum("source_size"), F.sum("w")).first()
+    if not weight:
+        return s.select("*", F.lit(0.0).alias("target"))
+    level, bound = total / weight, F.lit(most) * F.col("source_size")
+    while True:
+        over = F.lit(level) * F.col("w") > bound
+        held, open_ = s.agg(F.sum(F.when(over, F.col("source_size")).otherwise(0)), F.sum(F.when(over, 0).otherwise(F.col("w")))).first()
+        risen = (total - most * held) / open_ if open_ else level
+        if risen <= level:
+            return s.withColumn("target", F.when(over, bound).otherwise(F.lit(level) * F.col("w")).cast("double")).drop("place", "w")
+        level = risen
+
+
 def mixed(sized: DataFrame, seed: int) -> DataFrame:
-    spark = sized.sparkSession
-    stats = [tuple(r) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
-    target = targets([(s, n) for s, n, _ in stats])
-    rows = []
-    for s, words, n in stats:
-        rate = target[s] / words if words else 0.0
-        base = int(rate + EPS)
-        rows.append((s, int(words), float(target[s]), base, max(0.0, rate - base), max(1, -(-n // CHUNK))))
-    plan = spark.createDataFrame(rows, "s string, source_size long, target double, base int, p double, chunks long").coalesce(1)
-    if len(rows) <= BROADCAST_SOURCES:
+    """sized: id, source, size, tie. Ties that many rows share are split by row number, so that no chunk is much larger than CHUNK."""
+    row = F.monotonically_increasing_id()  # sized is durable, so rows keep their numbers
+    hot = durable(sized.groupBy("tie").count().where(F.col("count") > CHUNK).select(F.col("tie").alias("t"), F.ceil(F.col("count") / CHUNK).alias("parts")))
+    n_hot = hot.count()
+    if n_hot:
+        side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        split = F.xxhash64("tie", F.pmod(F.xxhash64("row"), F.col("parts")))
+        sized = sized.withColumn("row", row).join(side, F.col("tie") == F.col("t"), "left").withColumn("tie", F.when(F.col("parts").isNotNull(), split).otherwise(F.col("tie"))).drop("row", "t", "parts")
+    stats = durable(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    base = F.floor(rate + EPS)
+    plan = targeted(stats).select(
+        F.col("source").alias("s"), "source_size", "target", base.cast("int").alias("base"), F.greatest(F.lit(0.0), rate - base).alias("p"), F.greatest(F.lit(1), F.ceil(F.col("rows") / CHUNK)).cast("long").alias("chunks")
+    )
+    plan = durable(plan)
+    if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
     units = sized.join(plan, sized["source"].eqNullSafe(plan["s"])).drop("s")
-    if "tie" not in units.columns:
-        units = units.withColumn("tie", F.xxhash64("id", "size"))
     open_ = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
     done, left = units.where(~open_), units.where(open_)
-    most = max((r[5] for r in rows), default=1)
+    most = plan.agg(F.max("chunks")).first()[0] or 1
     levels = 0
     while most > 1:  # each flight leaves two of a chunk at most, so the next needs a fraction of the chunks
         out = durable(_round(left, "chunks", False, seed + levels))
