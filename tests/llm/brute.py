@@ -71,6 +71,32 @@ def secrets(text):
     return [(k, s, e) for s, _, e, k in sorted(out)]
 
 
+def peak_entropy(v, width=20):
+    best = 0.0
+    for i in range(len(v) - width + 1):
+        best = max(best, -sum(c / width * np.log2(c / width) for c in Counter(v[i : i + width]).values()))
+    return best
+
+
+def random_looking(v):
+    if not (re.search("[0-9]", v) and re.search("[A-Za-z]", v)):
+        return False
+    if re.search(r"(?i)example|sample|placeholder|change_?me|your[_-]|0123456789|1234567890|abcdefghij|(.)\1{7}", v):
+        return False
+    runs = [x for x in re.findall("[0-9A-Fa-f]{20,}", v) if re.search("[0-9]", x) and re.search("[A-Za-z]", x)]
+    return any(peak_entropy(x) >= 3.0 for x in runs) or peak_entropy(v) >= 3.75
+
+
+def entropy_spans(text):
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or ""):
+        if random_looking(m[0]):
+            out.append(m.span())
+        else:
+            out += [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer("[A-Za-z0-9+/_-]{20,}", m[0]) if "=" in m[0] and random_looking(x[0])]
+    return out
+
+
 def shingles(text, width):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:

@@ -1,8 +1,11 @@
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +66,26 @@ def test_pii_added(spark):
     assert not any("plain" in s["value"] for s in r.spans)
 
 
+def test_pii_has_no_caps(spark):
+    street = "12 " + " ".join("O" + "a" * 200 for _ in range(3)) + " Street"
+    login = "ftp://bob:" + "p" * 5000 + "@host.example"
+    texts = [f"at {street} and {login}.", "a12 Oak Street 123456 Oak Street 1 Aa Bb Cc Dd Street 12 oak Street 12 Oak  Street Oak Street 7 Elm Streets", "http://a:b" * 2000 + " ftp://" + "x" * 9000]
+    got = {r.doc_id: {(s["kind"], s["value"]) for s in r.spans} for r in pii.find_pii(frame(spark, texts, CLASHES)).collect()}
+    assert {("address", street), ("login", login + ".")} <= got[0]
+    assert not any(k in ("address", "login") for i in (1, 2) for k, _ in got[i])
+
+
+def test_what_is_remembered_is_bounded():
+    from tidelog.llm import common
+
+    words, long = common.Words(), b"x" * 100_000
+    assert words[long] == words[long] and long not in words and words[b"a"] == dict(words)[b"a"]
+    known = packing.WordTokens(tokenizer("word_bpe_49k.json"))
+    packing.encode([long, b"short"], known, 1)
+    packing.encode([b"other"], known, 1)
+    assert b"short" in known and long not in known and long not in known.passing
+
+
 def test_secret_base(spark):
     rng = random.Random(2)
     pieces = ["token", "secret", "API_KEY", "apikey", " ", "=", ":", '"', "'", "abc", "12345678", "AKIA", "ABCDEFGH1234", "deadbeef", "f" * 30, ".", "é"]
@@ -81,11 +104,39 @@ def test_entropy(spark):
     df = spark.createDataFrame([(hot,), ("abcabcabcabcabcabcabc1",), ("a0" * 20,), ("0123456789abcdefghijklmn",)], "v string")
     got = [r[0] for r in df.select(secrets.random_looking(F.col("v"))).collect()]
     assert got == [True, False, False, False]
-    for v in (hot, cold, "aZ09" * 9):
-        alphabet = secrets.CLASSES["token"][0]
-        (r,) = spark.createDataFrame([(v,)], "v string").select(secrets.peak_entropy(F.col("v"), alphabet)).collect()
-        want = max(-sum(c / 20 * np.log2(c / 20) for c in np.unique(list(v[i : i + 20]), return_counts=True)[1]) for i in range(len(v) - 19))
-        assert abs(r[0] - want) < 1e-9
+    rng = random.Random(22)
+    values = [hot, cold, "aZ09" * 9, "short", *("".join(rng.choice("abcdefghijklmnop"[: rng.randrange(1, 17)]) for _ in range(rng.randrange(20, 90))) for _ in range(40))]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.peak_entropy(F.col("v"))).collect()
+    assert all(abs(x - brute.peak_entropy(v)) < 1e-9 for v, x in got)
+
+
+def test_entropy_spans_match_brute_force(spark):
+    rng, letters = random.Random(23), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    parts = lambda: [draw(letters, rng.randrange(15, 45)), draw("0123456789ABCDEF", rng.randrange(18, 45)), draw("abc123", 30), "key=" + draw(letters, 30), "a" * 25 + "1=" + draw("0123456789abcdef", 24), "example" + draw(letters, 30), "x=y=", "é"]
+    texts = [rng.choice((" ", ", ", "=", "\n")).join(rng.choice(parts()) for _ in range(rng.randrange(1, 12))) for _ in range(250)]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert [(s.start, s.end) for s in got[i] if s.kind == "entropy"] == brute.entropy_spans(t), t
+
+
+def test_secrets_in_long_candidates_and_many_matches(spark):
+    """Linear in both. Blocks of few letters have many letters together, and no window that reaches the threshold until the end."""
+    rng = random.Random(24)
+    quiet = "".join("".join(rng.sample(c, 6)) * 11 for c in ["ghijkl", "mnopqr", "stuvwx", "GHI012"] * 3800)
+    loud = quiet + "q8ZfT2xW9vBnL4kRj7Ysq8"
+    rows = [(1, quiet), (2, loud), (3, " ".join("%016x%016x" % (rng.getrandbits(64), rng.getrandbits(64)) for _ in range(20_000)))]
+    began, got = time.time(), {}
+    for row in rows:
+        (r,) = secrets.find_secrets(spark.createDataFrame([row], "doc_id long, text string")).collect()
+        got[row[0]] = [(s.start, s.end) for s in r.spans if s.kind == "entropy"]
+    assert len(quiet) > 1_000_000 and got[1] == [] == brute.entropy_spans(quiet[:2000]) and got[2] == [(0, len(loud))]
+    assert got[3] == [m.span() for m in re.finditer("[^ ]+", rows[2][1]) if brute.random_looking(m[0])] and len(got[3]) > 15_000
+    (r,) = secrets.redact(spark.createDataFrame([(3, rows[2][1] + " é end")], "doc_id long, text string")).collect()
+    assert r.text == " ".join(["[SECRET]"] * 20_000) + " é end"
+    print("seconds", time.time() - began)
+    (r,) = spark.range(1).select(secrets.before(F.sequence(F.lit(1).cast("long"), F.lit(1000).cast("long")), lambda a, b: a + b)).first()
+    assert r == [k * (k + 1) // 2 for k in range(1001)]
 
 
 def test_entropy_of_values_and_hex_in_either_case(spark):
@@ -95,7 +146,7 @@ def test_entropy_of_values_and_hex_in_either_case(spark):
         for digits in ("0123456789abcdef", "0123456789ABCDEF"):
             for name in ("", "id=", "n=", "sample_key=", "your_token2=", "x/", "v1_"):
                 texts += ["see " + name + "".join(rng.choice(digits) for _ in range(size)) + " end" for _ in range(10)]
-    letters = secrets.CLASSES["token"][0][:62]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     texts += [f"see {name}=" + "".join(rng.choice(letters) for _ in range(40)) + " end" for name in ("sample_key", "your_token2", "a") for _ in range(10)]
     plain = ["see id=example_of_a_long_value_1 end", "a" * 30 + "=1", "path=/usr/share/doc/readme/a1", "12345678901234567890123456789 x", "Zm9vYmFyQmF6MTIzNDU2Nzg5MA=="]
     got = {r.doc_id: r.spans for r in secrets.find_secrets(frame(spark, texts + plain, CLASHES)).collect()}
@@ -225,6 +276,20 @@ def test_token_counts_match_the_library(spark, rows):
     assert got[1] == got[2] == 0 and got[0] == 2
 
 
+def test_tokens_of_long_words():
+    """A ring of the longest piece's length gives what the library gives, however long a word is."""
+    from tokenizers import Tokenizer, models
+
+    rng = random.Random(25)
+    pieces = {"".join(rng.choice("abcd") for _ in range(rng.randrange(2, 12))): -rng.uniform(2, 20) for _ in range(300)} | {c: -rng.uniform(4, 9) for c in "▁abc"}
+    lexicon = tokens.Lexicon(list(pieces.items()), False)
+    t = Tokenizer(models.Unigram([("<unk>", 0.0), *((p, max(s, min(pieces.values()))) for p, s in pieces.items())], 0, False))
+    for n in (1, 5, 40, 3000, 100_000):
+        word = "".join(rng.choice("abcdddabc") for _ in range(n))
+        assert lexicon.tokens(word) == len(t.encode("▁" + word, add_special_tokens=False).ids), n
+    assert not any(len(w) > 64 for w in lexicon.memo)
+
+
 def test_token_ties():
     lexicon = tokens.Lexicon([("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0)], False)
     assert lexicon.tokens("ab") == 2  # ▁a+b (-3), ▁+ab (-3), ▁+a+b (-3): at the end the earliest last piece is ab
@@ -276,14 +341,28 @@ def test_language_sample_of_null_and_shared_ids(spark, shared):
     """Rows that share an id neither crowd out other rows nor are left out; a rare label is taken whole."""
     some = [(shared if i % 3 == 0 else i, f"text {i:05d} " * (1 + i % 200), "abc"[i % 4 % 3]) for i in range(3000)] + [(5000 + i, f"rare {i}", "rare") for i in range(9)]
     df = spark.createDataFrame(some, "doc_id long, text string, lang string")
-    got = language.sample(df, "doc_id", "text", "lang", 50)
+    got = language.sample(df, "doc_id", "text", "lang", 50, 1)
     own, place = defaultdict(lambda: [0, 0]), lambda t: next(int(w) for w in t.split() if len(w) == 5)
     assert sorted(t for k, t in got if k == "rare") == [f"rare {i}" for i in range(9)]
     for k, t in got:
         if k != "rare":
             own[k][place(t) % 3 == 0] += 1
     assert all(20 <= sum(n) <= 100 and min(n) > 3 for n in own.values()) and len(own) == 3, dict(own)
-    assert got == language.sample(df.repartition(7), "doc_id", "text", "lang", 50)
+    assert got == language.sample(df.repartition(7), "doc_id", "text", "lang", 50, 1)
+
+
+def test_letters():
+    assert [language.has_letter(t) for t in ("½ ² Ⅷ ① 1_2 ٣ ™", "½a", "é", "ª", "日", "1 2", "ʰ")] == [False, True, True, True, True, False, True]
+
+
+def test_language_of_short_and_tied_texts(spark):
+    """Held-out texts of any length, null and repeated ids; two labels that no text tells apart still give one of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", F.substring("text", 1, 60).alias("text")).where("length(text) > 20")
+    got = language.identify(docs, language.learn(docs), keep=("doc_id", "lang")).where(language.held_out()).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got), len(got)
+    same = spark.createDataFrame([(None if i % 3 else 5, "one and the same text", "ab"[i % 2]) for i in range(40)] + [(9, "½ ² Ⅷ", None)], "doc_id long, text string, lang string")
+    got = language.query(same).collect()
+    assert len(got) == 41 and len({r.lang_pred for r in got if r.doc_id != 9}) == 1 and [(r.lang_pred, r.score) for r in got if r.doc_id == 9] == [("und", 0.0)]
 
 
 def test_language_odd(spark):
@@ -325,8 +404,8 @@ def test_packing_round_trip(spark, docs, rows):
 def test_fast_encoder_gives_the_tokenizers_ids():
     """Every plain vocabulary entry, and random words of ASCII and Latin-1 letters in either case, long ones too."""
     path, rng = tokenizer("word_bpe_49k.json"), random.Random(12)
-    known, (t, _, fast) = packing.WordTokens(path), packing.load(path)
-    assert fast and packing.load(tokenizer("byte_bpe_50k.json"))[2] is None
+    known, (t, _, fast, by_words) = packing.WordTokens(path), packing.load(path)
+    assert fast and by_words and packing.load(tokenizer("byte_bpe_50k.json"))[2:] == (None, False)
     letters = "abcdefghijklmnopqrstuvwxyz" * 3 + "ßàéñöüÿÀÉÑÖÜÞ×÷aaaaeeeennn"
     words = {"".join(rng.choice(letters) for _ in range(rng.choice((1, 3, 8, 20, 63, 64, 65, 500)))) for _ in range(5000)}
     words |= {w.removesuffix("</w>") for w in t.get_vocab() if w.removesuffix("</w>").isascii() and "<|" not in w}
@@ -337,7 +416,7 @@ def test_fast_encoder_gives_the_tokenizers_ids():
 
 def test_marks_that_compose_in_lower_case_only():
     path = tokenizer("word_bpe_49k.json")
-    known, (t, _, _) = packing.WordTokens(path), packing.load(path)
+    known, (t, *_) = packing.WordTokens(path), packing.load(path)
     pairs = ["T\u0308", "J\u030c", "H\u0331", "W\u030a", "Y\u030a"]
     marks = ["\u0300", "\u0308", "\u030a", "\u030c", "\u0325", "\u0331", "\u0338", "\u05b0", "\u1dc2"]
     texts = [*pairs, *(f"AB{p}c {p.lower()}. X{p[0]}\u0325{p[1]} TH{p}, End." for p in pairs), *(c + m + n for c in "ABHIJKTWYhtjwy" for m in marks for n in marks)]
@@ -346,6 +425,49 @@ def test_marks_that_compose_in_lower_case_only():
         assert np.frombuffer(raw, known.kind).tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], x
 
 
+def test_every_capital_with_every_mark():
+    """Each ASCII letter before each combining mark, alone and inside words."""
+    path = tokenizer("word_bpe_49k.json")
+    known, (t, *_) = packing.WordTokens(path), packing.load(path)
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = [" ".join(f"{c}{m} a{c}{m}z" for m in marks) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZhjtwy"]
+    for x, raw in zip(texts, packing.encode([x.encode() for x in texts], known, 1), strict=True):
+        assert np.frombuffer(raw, known.kind).tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], x[:40]
+
+
+def test_tokenizers_of_other_kinds_get_whole_texts(spark, docs, rows):
+    path = tokenizer("byte_bpe_50k.json")
+    known, (t, *_) = packing.WordTokens(path), packing.load(path)
+    texts = [x or "" for _, x in rows[:60]] + ["Two  words\n\nand Capital.", "", "  lead"]
+    for x, raw in zip(texts, packing.encode([x.encode() for x in texts], known, 7), strict=True):
+        assert np.frombuffer(raw, known.kind).tolist() == [*t.encode(x, add_special_tokens=False).ids, 7], x[:40]
+
+
+def test_packing_follows_the_curve_and_reruns_agree(spark, docs, monkeypatch):
+    """Documents in order of sequences ascend on the curve, also in parts; null and repeated ids are packed row by row."""
+    monkeypatch.setattr(packing, "PART", 64)
+    monkeypatch.setattr(packing, "RANGE_BYTES", 20_000)
+    path = tokenizer("word_bpe_49k.json")
+    some = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "d " * 5000), (7_000_000, "x " * 9000), (7_000_000, "y " * 50)], "doc_id long, text string"))
+    got = packing.pack(some, path).collect()
+    many = packing.pack(some.repartition(3), path)
+    curve = {r.doc_id: r.curve for r in packing.tokenized(docs, path, 1, "doc_id", "text").collect()}
+    full = [p for p in sorted(got, key=lambda p: (p.sequence_id, p.offset)) if p.doc_id in curve]
+    cells = [curve[p.doc_id] >> packing.DIMENSIONS * packing.BITS - packing.CELLS for p in full]
+    assert cells == sorted(cells) and len({p.sequence_id >> 40 for p in got}) > 5  # ranges follow the curve, cell by cell
+    within = [(p.sequence_id >> 40, curve[p.doc_id]) for p in full]
+    assert within == sorted(within)
+    key = lambda ps: sorted((str(p.doc_id), p.start, p.length, bytes(p.ids), p.doc_tokens, p.sequence_id, p.offset) for p in ps)
+    assert key(got) == key(many.collect())
+    total = defaultdict(int)
+    for p in got:
+        total[p.doc_id, p.doc_tokens] += p.length
+        assert len(p.ids) == 4 * p.length
+    assert all(n % tokens == 0 for (_, tokens), n in total.items()) and sorted(n // k[1] for k, n in total.items() if k[0] is None) == [1, 2]
+    whole = [p for p in got if p.doc_id == 7_000_000 and p.doc_tokens > 9000]
+    assert len(whole) < 9000 // 64 // 5  # parts that follow on in a sequence are one piece
+
+
 def test_hilbert_curve_is_continuous():
     side = 8
     grid = np.stack(np.meshgrid(*[np.arange(side)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
@@ -407,6 +529,60 @@ def test_substrings_odd(spark):
     assert sorted(r.n_removed for r in substrings.remove_repeats(df).collect()) == [0, 33, 33, 33]
 
 
+def test_substrings_of_null_ids_and_string_ids(spark):
+    """Rows that share an id are spread over batches, copies of one row too, and of each passage one occurrence stays."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    some = [(None, f"{passage} own{i} " + " ".join(f"{i}w{k}" for k in range(25))) for i in range(400)] + [(None, "copy " * 3 + passage[:-4])] * 200 + [(9, passage)]
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(6)
+    got = substrings.remove_repeats(df, batch_bytes=5000).collect()
+    assert len(got) == len(some) and sum(r.n_removed == 0 for r in got) == 1 + (sum(r.n_removed == 0 and r.kept_text.startswith("copy") for r in got) > 0)
+    assert sum(p in r.kept_text.split() for r in got for p in ("p5",)) == 1 and [r.n_removed for r in got if r.doc_id == 9] == [30]
+    batches = substrings.Batch(pa.table({"doc_id": [None, None], "text": ["b", "a"], "tie": pa.array([2, 1], pa.int32())}))
+    assert [w[0] for w in batches.words] == [b"a", b"b"]
+    for bad in (substrings.remove_repeats, lambda d: vectors.near_vectors(d, vec_col="text")):
+        with pytest.raises(ValueError, match="integer"):
+            bad(df.withColumn("doc_id", F.lit("x")).withColumn("vec_id", F.lit("x")))
+
+
+def test_second_hash_tells_windows_apart():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 60).astype(np.uint64)
+    again = np.concatenate([h, h])
+    low = substrings.second(again)
+    assert len(low) == 101 and (low[:41] == low[60:]).all() and len(set(low[:60].tolist())) == 60
+    order, new = substrings.in_order(np.zeros(6, np.uint64), np.array([2, 1, 2, 1, 3, 1], np.uint32))
+    assert order.tolist() == [1, 3, 5, 0, 2, 4] and new.tolist() == [True, False, False, True, False, True]
+
+
+def test_targets_on_a_table(spark):
+    """The table's targets are those of the plain version and add up; many sources, a null one, empty ones."""
+    rng = random.Random(26)
+    for n in (0, 1, 3, 400):
+        sizes = {None if k == 2 else f"s{rng.randrange(10**5)}é"[: rng.randrange(2, 8)]: rng.choice((0, int(10 ** rng.uniform(0, 6)))) for k in range(n)}
+        got = {r.source: (r.target, r.source_size) for r in mixing.targeted(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        want = mixing.targets(list(sizes.items()))
+        assert {s: x for s, (_, x) in got.items()} == sizes and all(abs(got[s][0] - want[s]) <= 1e-9 * max(1, want[s]) for s in want)
+        order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+        free = [s for s in order if got[s][0] < 3 * sizes[s] - 1e-6]
+        assert len({round(got[s][0] / (1 + order.index(s) % 3), 6) for s in free}) <= 1  # of those below their bound, targets are as weights
+        assert abs(sum(t for t, _ in got.values()) - sum(sizes.values())) < 1e-6 * max(1, sum(sizes.values())) or not free
+
+
+def test_mixing_of_rows_that_are_alike(spark, monkeypatch):
+    """A third of all rows with a null id and one size are many chunks, and the targets are met."""
+    monkeypatch.setattr(mixing, "CHUNK", 32)
+    biggest, held = [], mixing.flight
+    monkeypatch.setattr(mixing, "flight", lambda p, z, d: (biggest.append(len(p)), held(p, z, d))[1])
+    some = [(None, "w " * 7, "ab"[i % 3 == 0]) for i in range(1500)] + [(i, "v " * (i % 9), "abc"[i % 3]) for i in range(1500)]
+    got = mixing.mix_sources(spark.createDataFrame(some, "doc_id long, text string, source string")).collect()
+    size = defaultdict(int)
+    for _, t, s in some:
+        size[s] += len(t) // 2
+    want = mixing.targets(list(size.items()))
+    assert len(got) == len(some) and all(abs(sum(r.copies * r.size for r in got if r.source == s) - want[s]) <= 8 for s in want)
+    chunks = mixing.mixed(spark.createDataFrame([(None, "a", 7, 1)] * 500, "id long, source string, size long, tie long"), 1)
+    assert chunks.count() == 500 and chunks.select("tie").distinct().count() > 5
+
+
 def test_mixing(spark, docs, rows):
     sizes = {d: len(brute.words(t)) for d, t in rows}
     for df, size in ((docs, sizes), (frame(spark, [None, "", *["a b c"] * 50, "w " * 500], CLASHES).withColumn("source", F.when(F.col("doc_id") % 5 > 0, F.col("source"))), None)):

@@ -7,12 +7,15 @@ import contextlib
 import ctypes
 import functools
 import gc
+import re
 import shutil
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Whitespace that ends a word, as a character class body for Java and RE2 patterns.
@@ -21,18 +24,23 @@ WORD_SPACE = r"\x20\x09-\x0D"
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
-
-    Only where that is unset (a local test) a temporary folder is used.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. A master that is this process alone may go without: it gets a temporary one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="tidelog-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            named = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
+    return named
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -44,6 +52,13 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 
 
+def whole_ids(df: DataFrame, column: str) -> Column:
+    """The column as long; ids that are no integers are an error."""
+    if df.schema[column].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{column} must be of an integer type, not {df.schema[column].dataType.simpleString()}")
+    return F.col(column).cast("long")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     while name in df.columns:
@@ -57,8 +72,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def give_back() -> None:
     """Return freed memory of this worker to the system: workers stay for later tasks of other operators."""
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
@@ -78,16 +91,17 @@ def returning(scan):
     return run
 
 
-#: Rows of an Arrow batch for operators that send texts to Python, so that a worker holds a few MB of them.
-BATCH_ROWS = 1000
+#: Bytes and rows of a batch that a worker turns into Python objects at once; Spark bounds the batches themselves by bytes.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1000
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, its session's Arrow batches lowered to BATCH_ROWS rows; a lower setting stays."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE_BYTES bytes, and SLICE_ROWS rows at most; a row of more bytes is a slice of its own."""
+    for batch in batches:
+        size = sum(c.nbytes for c in batch.columns)
+        rows = max(1, min(SLICE_ROWS, len(batch) * SLICE_BYTES // max(1, size)))
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -102,15 +116,25 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.size(F.array_remove(F.split(c, " "), "")).cast("long"), F.lit(0).cast("long"))
 
 
+#: Longer words (in bytes or characters) are not remembered, so that what is remembered is bounded in bytes.
+REMEMBERED = 64
+
+
 class Words(dict):
-    """Word (bytes) -> 64-bit hash, remembered up to a fixed number of entries."""
+    """Word (bytes) -> 64-bit hash, remembered up to a fixed number of entries of REMEMBERED bytes at most."""
 
     LIMIT = 250_000
 
+    def __init__(self, seed: int = 0) -> None:
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word, self.seed)
+        if len(word) <= REMEMBERED:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = h
         return h
 
     def hashes(self, words: list[bytes]) -> np.ndarray:

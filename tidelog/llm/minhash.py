@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, durable, mix, need, returning, small_batches
+from .common import Words, durable, mix, need, returning, slices
 from .components import components
 
 PLACES = 1 << 21
@@ -174,7 +174,7 @@ def _by_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hubs: int = 1) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
-    source = small_batches(need(docs, id_col, text_col).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")))
+    source = need(docs, id_col, text_col).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     signed = durable(_signed(source, width))
     first = durable(signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc").alias("rep")).where(F.col("rep").isNotNull()))
     nodes = signed.join(first.withColumnRenamed("fp", "f"), (F.col("fp") == F.col("f")) & (F.col("doc") == F.col("rep")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, need
+from .common import durable, need, whole_ids
 from .components import components
 
 BLOCK, PIVOTS, LEAF = 4096, 1024, 24
@@ -297,7 +297,7 @@ def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, block: int = BLOCK) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
-    rows = need(df, id_col, vec_col).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    rows = need(df, id_col, vec_col).select(whole_ids(df, id_col).alias("id"), F.col(vec_col).alias("vec"))
     nodes = durable(rows.where(F.col("id").isNotNull() & usable("vec")).groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     found = None
     for (size,) in nodes.select(F.size("vec")).distinct().collect():  # normally one
