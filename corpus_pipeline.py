@@ -5,15 +5,13 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import language, minhash, mixing, packing, secrets
-from tidelog.llm.common import WORD_SPACE, durable, fresh
+from tidelog.llm.common import WORD_SPACE, durable, fresh, shared_folder
 from tidelog.llm.queries import tokenizer
 
 #: A document whose language is unknown, or whose windows are each told with less than this score in the mean, goes.
@@ -77,16 +75,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet in the shared folder and read again."""
+    """All stages over documents; each is written as Parquet in the shared folder and read again, and deleted once the next one is written. The last one stays, as it is the result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        import atexit
-
-        shared = tempfile.mkdtemp(prefix="tidelog-pipeline-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-    at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{at}/{name}"
     return docs
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write one."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
