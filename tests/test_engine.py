@@ -305,6 +305,118 @@ def test_journal_source_and_sink(spark, tmp_path):
     assert spark.read.parquet(out).count() == len(rows)
 
 
+def test_journal_sink_goes_on_and_refuses(spark, tmp_path):
+    """Append follows on from what is there, refuses sequences that are there or leave a gap, and keeps the journal; overwrite replaces it."""
+    rows = lambda a, b: spark.createDataFrame([(s, 0, "incremental", "release", 0, s, 1, None, None, None, None) for s in range(a, b)], log.SCHEMA)
+    path = str(tmp_path / "j")
+    held = lambda: [r.sequence for r in log.read_captures(spark, path).orderBy("sequence").collect()]
+    log.write_captures(rows(1, 12), path, 2)
+    log.write_captures(rows(12, 15), path, 1)
+    assert held() == list(range(1, 15))
+    for a, b in ((1, 3), (14, 16), (17, 19)):
+        with pytest.raises(Exception, match="is there already|is missing"):
+            log.write_captures(rows(a, b), path, 1)
+        assert held() == list(range(1, 15)) and not [n for n in (tmp_path / "j.segments").iterdir() if n.name.startswith(".")]
+    log.write_captures(rows(1, 3), path, 1, "overwrite")
+    assert held() == [1, 2]
+
+
+def test_journal_stream_limit_and_reclaim(tmp_path):
+    """Offers are bounded, go on after a restart, and acknowledged segments go."""
+    path, folder = str(tmp_path / "j"), tmp_path / "j.segments"
+    folder.mkdir()
+    payload = log.encode_batch(log.INCREMENTAL, [log.Op(0, 1, 1, True)])
+    for first in (1, 4, 7, 10):
+        (folder / f"segment-{first:016d}.psjs").write_bytes(log.segment_header(first) + b"".join(log.frame(s, payload) for s in range(first, first + 3)))
+    options = {"path": path, "maxsequencespertrigger": "4", "reclaim": "true"}
+    stream, got, at = log.JournalStreamReader(options), [], {"sequence": 1}
+    for _ in range(2):
+        end = stream.latestOffset()
+        assert at["sequence"] < end["sequence"] <= at["sequence"] + 4
+        got += [r[0] for p in stream.partitions(at, end) for r in stream.read(p)]
+        stream.commit(end)
+        at = end
+    assert [s for s, _ in log.segment_files(path)] == [7, 10] and at == {"sequence": 9}
+    stream = log.JournalStreamReader(options)
+    end = stream.latestOffset()
+    got += [r[0] for p in stream.partitions(at, end) for r in stream.read(p)]
+    assert got == list(range(1, 13)) and stream.latestOffset() == end == {"sequence": 13}
+
+
+def test_journal_take_reads_a_segment_once(tmp_path, monkeypatch):
+    j, reads, read = small(tmp_path), [], log.read_segment
+    for k in range(50):
+        j.append(b"%d" % k)
+    monkeypatch.setattr(log, "read_segment", lambda p: (reads.append(p), read(p))[1])
+    for k in range(50):
+        assert j.take() == (k + 1, b"%d" % k)
+        j.acknowledge(k + 1)
+    assert len(reads) == 1
+    j.close()
+
+
+def test_store_scratch_and_counters():
+    lay = Layout("scratch", [Field("payload", "bytes", 48)])
+    s = Store(segment=2)
+    a, b, _ = s.allocate(lay), s.allocate(lay), s.allocate(lay)
+    assert s.scratch_high_water == 0
+    s.transaction(lambda w: (w(a).set("payload", b"1" * 48), w(b).set("payload", b"2" * 48), w(a).set("payload", b"3" * 48)))
+    assert s.scratch_high_water == 96
+    with pytest.raises(ZeroDivisionError):
+        s.transaction(lambda w: (w(a).set("payload", b"4" * 48), 1 / 0))
+    s.update(b, payload=b"2" * 48)
+    c = s.counters
+    assert (c["committed"], c["live"], c["segments"], c["capacity"], c["scratch_high_water"], c["rejected"]) == (2, 3, 2, 4, 96, 0) and s.read(a)["payload"] == b"3" * 48
+
+
+def test_store_wide_subscriptions():
+    wide, s, got = Layout("wide", [Field(f"f{i}", "uint8") for i in range(63)]), Store(), []
+    h, flat = s.allocate(wide), s.allocate(SENSOR)
+    s.watch(h, lambda c: got.append(c.version), selection=wide.selection("f62"))
+    s.update(h, f61=1)
+    s.update(h, f62=2)
+    s.transaction(lambda w: (w(h).set("f62", 7), w(h).set("f62", 2)))
+    assert got == [2] and len(s.journal) == 2
+    for bad in ({"fields": 1}, {"fields": 1, "selection": wide.selection("f0")}, {"selection": [1]}, {"selection": [1 << 31, 0, 0]}):
+        with pytest.raises(FieldError):
+            s.watch(h, print, **bad)
+    with pytest.raises(FieldError):
+        s.watch(flat, print, fields=8)
+
+
+def test_custom_fields(spark):
+    from tidelog.functions.layout import CustomField
+
+    near = CustomField("x", 4, lambda v: F.encode(F.lpad(v.cast("string"), 4, "0"), "UTF-8"), lambda raw: F.decode(raw, "UTF-8").cast("int"), lambda a, b: F.abs(a - b) > 1)
+    assert Layout("l", [near.field(), Field("y", "int32")]).size == 8
+    df = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 1, 6), (1, 2, 2, 9), (1, 3, 3, None)], "rec long, txn long, seq long, x int")
+    w = df.select("rec", "txn", "seq", near.stored(F.col("x")).alias("x"))
+    assert [(r.txn, r.version, bytes(r.x)) for r in changes.net_changes(w, {"x": b"0000"}, custom={"x": near}).orderBy("txn").collect()] == [(0, 1, b"0005"), (2, 2, b"0009")]
+    plain = CustomField("x", 4, near.encode, near.decode)
+    assert changes.net_changes(w, {"x": b"0000"}, custom={"x": plain}).count() == 3
+    with pytest.raises(Exception, match="another width"):
+        df.select(CustomField("x", 3, near.encode, near.decode).stored(F.col("x"))).collect()
+
+
+def test_pacing_is_exact_beyond_doubles(spark):
+    df = spark.createDataFrame([("a", 0, 9_007_199_254_740_993), ("a", 1, 1)], "source string, ord long, micros long")
+    total = [9_007_199_254_740_993 * 999, 9_007_199_254_740_994 * 999]
+    got = [r.requested for r in telemetry.paced(df, 999).orderBy("ord").collect()]
+    assert got == [total[0] // 10**6, total[1] // 10**6 - total[0] // 10**6]
+
+
+def test_running_totals(spark):
+    df = spark.range(1000).select(F.col("id").alias("epoch"), (F.col("id") % 7).alias("n")).repartition(5)
+    got = {r.epoch: r.t for r in journal.running_total(df, "epoch", "n", "t").collect()}
+    assert got == {k: sum(i % 7 for i in range(k + 1)) for k in range(1000)}
+
+
+def test_filters_are_bounded(spark):
+    with pytest.raises(EngineError):
+        delivery.few(spark.range(11), 10)
+    assert delivery.few(spark.range(10), 10).count() == 10
+
+
 def test_store_transactions():
     s, got = Store(journal=2), []
     h = s.allocate(SENSOR)

@@ -7,7 +7,7 @@ results do not depend on the machine.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,6 +78,31 @@ class Field:
         return T.BinaryType() if self.kind == "bytes" else KINDS[self.kind].spark
 
 
+@dataclass(frozen=True)
+class CustomField:
+    """A value kept as bytes of a fixed width: encode and decode are column functions, changed tells two decoded values apart (by default, unlike bytes)."""
+
+    name: str
+    width: int
+    encode: Callable[[Column], Column]
+    decode: Callable[[Column], Column]
+    changed: Callable[[Column, Column], Column] | None = None
+
+    def field(self) -> Field:
+        """The field of a layout that holds it."""
+        return Field(self.name, "bytes", self.width)
+
+    def stored(self, value: Column) -> Column:
+        """The value's bytes; null stays null (not written), and bytes of another width end the query."""
+        raw = self.encode(value)
+        fits = F.when(F.octet_length(raw) == self.width, raw).otherwise(F.raise_error(F.lit(f"{self.name}: encodes to another width than {self.width}")).cast("binary"))
+        return F.when(value.isNotNull(), fits)
+
+    def differs(self, now: Column, before: Column) -> Column:
+        """Whether stored bytes hold another value than those before."""
+        return self.changed(self.decode(now), self.decode(before)) if self.changed else ~now.eqNullSafe(before)
+
+
 def _align(x: int, to: int) -> int:
     return -(-x // to) * to
 
@@ -211,12 +236,15 @@ class Layout:
                 continue
             k = KINDS[f.kind]
             if k.low is not None:
-                values = [int(v) for v in values]
-                if any(not k.low <= v <= k.high for v in values):
+                if values.dtype.kind not in "iu":  # decimals, and numbers beside nulls
+                    if values.isna().any() or any(v != int(v) for v in values):
+                        raise FieldError(f"{f.name}: value is no integer")
+                    values = pd.Series([int(v) for v in values], dtype=object)
+                if len(values) and not (k.low <= values.min() and values.max() <= k.high):
                     raise FieldError(f"{f.name}: value outside {k.low}..{k.high}")
             out[f.name] = np.array(values, out.dtype[f.name])
-        raw = out.view(np.uint8).reshape(len(rows), self.size)
-        return [r.tobytes() for r in raw]
+        raw, size = out.tobytes(), self.size
+        return [raw[i : i + size] for i in range(0, len(raw), size)]
 
     def decode(self, images: Sequence[bytes]) -> pd.DataFrame:
         """Rows of record bytes of exactly the layout's size."""

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import changed
+from ..functions.layout import CustomField
 
 Fields = dict[str, object]  # name: zero value
 
@@ -23,11 +24,13 @@ def _real(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.typeName() in ("float", "double")
 
 
-def _masked(im: DataFrame, names: list[str]) -> DataFrame:
-    """im with ``mask``, an int with the bits of the fields that differ."""
+def _masked(im: DataFrame, names: list[str], custom: dict[str, CustomField] | None = None) -> DataFrame:
+    """im with ``mask``, an int with the bits of the fields that differ; custom fields by their own test."""
+    custom = custom or {}
     if len(names) > 31:
         raise ValueError("more than 31 fields: use wide_net_changes")
-    bits = [F.shiftleft(changed(F.col(n), F.col(f"_p_{n}"), _real(im, n)).cast("int"), i) for i, n in enumerate(names)]
+    test = lambda n: custom[n].differs(F.col(n), F.col(f"_p_{n}")) if n in custom else changed(F.col(n), F.col(f"_p_{n}"), _real(im, n))
+    bits = [F.shiftleft(test(n).cast("int"), i) for i, n in enumerate(names)]
     return im.withColumn("mask", reduce(lambda a, b: a.bitwiseOR(b), bits))
 
 
@@ -42,12 +45,12 @@ def images(writes: DataFrame, fields: Fields, keys: tuple[str, ...] = ("rec",))
     return with_before.select(*keys, "txn", "touch_seq", *(F.coalesce(n, f"_p_{n}").alias(n) for n in names), *(F.col(f"_p_{n}") for n in names))
 
 
-def net_changes(writes: DataFrame, fields: Fields, keys: tuple[str, ...] = ("rec",)) -> DataFrame:
-    """Commits: keys, txn, touch_seq, version, mask, final values. Order of commits: (txn, touch_seq)."""
+def net_changes(writes: DataFrame, fields: Fields, keys: tuple[str, ...] = ("rec",), custom: dict[str, CustomField] | None = None) -> DataFrame:
+    """Commits: keys, txn, touch_seq, version, mask, final values. Order of commits: (txn, touch_seq). custom: fields, encoded, with an own test of change."""
     names = list(fields)
     im = images(writes, fields, keys)
     version = F.row_number().over(Window.partitionBy(*keys).orderBy("txn")).cast("long")
-    return _masked(im, names).where("mask <> 0").select(*keys, "txn", "touch_seq", version.alias("version"), "mask", *names)
+    return _masked(im, names, custom).where("mask <> 0").select(*keys, "txn", "touch_seq", version.alias("version"), "mask", *names)
 
 
 def wide_net_changes(writes: DataFrame, fields: Fields, keys: tuple[str, ...] = ("rec",)) -> DataFrame:
@@ -89,6 +92,12 @@ def provisional(writes: DataFrame, fields: Fields, keys: tuple[str, ...] = ("rec
     return w.groupBy(*keys, "txn").agg(F.bit_or(bits).alias("dirty")).where("dirty <> 0")
 
 
+def scratch_high_water(writes: DataFrame, fields: Fields, record_bytes: int, keys: tuple[str, ...] = ("rec",)) -> DataFrame:
+    """One row: the most bytes of pre-images that a transaction holds, one record's for each record it altered, and how many transactions alter any."""
+    per = provisional(writes, fields, keys).groupBy("txn").agg((F.count("*") * record_bytes).alias("held"))
+    return per.agg(F.coalesce(F.max("held"), F.lit(0)).alias("high_water"), F.count("*").alias("transactions"))
+
+
 def restored(writes: DataFrame, fields: Fields, keys: tuple[str, ...] = ("rec",)) -> DataFrame:
     """Fields that were altered and put back within a transaction."""
     net = net_changes(writes, fields, keys).select(*keys, "txn", "mask")

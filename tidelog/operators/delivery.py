@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from ..functions.columns import intersects, matches, ui_matches
 
+MOST_FILTERS = 10_000
+
 
 def dispatch(changes: DataFrame, subs: DataFrame, ui: bool = False) -> DataFrame:
     """Immediate delivery: one row per commit and matching live subscription; order (txn, touch_seq, sub_ord)."""
@@ -50,6 +53,22 @@ def flush(latest_rows: DataFrame, batched_rows: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def few(filters: DataFrame, most: int = MOST_FILTERS) -> DataFrame:
+    """filters, if they are few enough to be sent to every task."""
+    if filters.limit(most + 1).count() > most:
+        raise EngineError(f"more than {most} filters")
+    return filters
+
+
+def pending(delivered: DataFrame, subs: DataFrame, capacity: int, epoch: str = "epoch") -> DataFrame:
+    """Per subscription, what waits for the flush of the last epoch: one entry of the latest policy, and entries in the batched ring."""
+    last = delivered.agg(F.max(epoch).alias("_last"))
+    open_ = delivered.join(F.broadcast(last), F.col(epoch) == F.col("_last")).drop("_last")
+    waiting = open_.groupBy("sub_id").agg(F.lit(1).cast("long").alias("latest_pending"))
+    queued = batched(open_, capacity, epoch).groupBy("sub_id").agg(F.count("*").alias("batched_pending"))
+    return subs.select("sub_id").join(waiting, "sub_id", "left").join(queued, "sub_id", "left").na.fill(0)
+
+
 def purge(queued: DataFrame, inactive: DataFrame) -> DataFrame:
     """Queued work without that of inactive subscriptions."""
     return queued.join(inactive.select("sub_id").distinct(), "sub_id", "left_anti")
@@ -77,7 +96,7 @@ def state_as_of(flushed: DataFrame, changes: DataFrame, at: str, values: list[st
 def frames(changes: DataFrame, filters: DataFrame, frame: str = "frame") -> DataFrame:
     """Frame-coalesced notification: per filter and frame, accepted and coalesced changes, and one notification with the union of masks.
 
-    filters: filter_id, fields; a few rows that the caller made, so they are broadcast.
+    filters: filter_id, fields; at most MOST_FILTERS rows, which is checked, so they are broadcast.
     """
-    on = changes.join(F.broadcast(filters), ui_matches(F.col("fields"), F.col("mask")))
+    on = changes.join(F.broadcast(few(filters)), ui_matches(F.col("fields"), F.col("mask")))
     return on.groupBy("filter_id", frame).agg(F.count("*").alias("accepted"), (F.count("*") - 1).alias("coalesced"), F.bit_or("mask").alias("mask"))

@@ -1,13 +1,43 @@
 """Ordered folds, one per store or journal: slot allocation, journal admission, frame-rate estimates.
 
-Each depends on all that came before in its store, which no window expresses; parallelism is across stores.
+Each depends on all that came before in its store, which no window expresses; parallelism is across stores. Rows are sorted by
+Spark and read in batches, so a worker holds a batch and a store's state, never all rows of a store.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+_ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def ordered_fold(ops: DataFrame, store: str, columns: list[str], out: dict[str, str], start: Callable[[], object], step: Callable[..., tuple]) -> DataFrame:
+    """step(state, *columns) for each row of a store in order of ``ord``, the first of columns, with a state that start makes for each store.
+
+    Returns the store and what step returns, named and typed by out.
+    """
+    rows = ops.select(store, *columns).repartition(store).sortWithinPartitions(store, columns[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, current, begun = None, None, False
+        for batch in batches:
+            found = []
+            for key, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or key != current:
+                    state, current, begun = start(), key, True
+                found.append(step(state, *values))
+            if found:
+                arrays = [pa.array(x, _ARROW.get(kind) or batch.schema.field(kind).type) for x, kind in zip(zip(*found, strict=True), out.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [store, *out])
+
+    kinds = {f.name: f.dataType.simpleString() for f in ops.schema}
+    fields = [f"`{store}` {kinds[store]}", *(f"`{n}` {k if k in _ARROW else kinds[k]}" for n, k in out.items())]
+    return rows.mapInArrow(run, ", ".join(fields))
+
 FRAME_HEADER = SEGMENT_HEADER = 24
 
 
@@ -55,21 +85,18 @@ class Slots:
 def allocate_slots(ops: DataFrame, store: str, per_segment: int = 1024) -> DataFrame:
     """ops: store, ord, op ('allocate' or 'release'), rec. Returns the place of each operation's record; releases of records that are not live have none."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        slots, held, out = Slots(per_segment), {}, []
-        for r in rows.sort_values("ord").itertuples(index=False):
-            if r.op == "allocate":
-                at = held[r.rec] = slots.allocate()
-            else:
-                at = held.pop(r.rec, None)
-                if at:
-                    slots.release(*at[:2])
-            out.append((getattr(r, store), int(r.ord), r.op, r.rec, *(at or (None, None, None)), slots.capacity))
-        names = [store, "ord", "op", "rec", "segment", "slot", "generation", "capacity"]
-        return pd.DataFrame(out, columns=names).astype({"segment": "Int64", "slot": "Int64", "generation": "Int64"})
+    def step(state, at_: int, op: str, rec) -> tuple:
+        slots, held = state
+        if op == "allocate":
+            at = held[rec] = slots.allocate()
+        else:
+            at = held.pop(rec, None)
+            if at:
+                slots.release(*at[:2])
+        return (at_, op, rec, *(at or (None, None, None)), slots.capacity)
 
-    kind = {f.name: f.dataType.simpleString() for f in ops.schema}
-    return ops.select(store, "ord", "op", "rec").groupBy(store).applyInPandas(fold, f"{store} {kind[store]}, ord long, op string, rec {kind['rec']}, segment long, slot long, generation long, capacity long")
+    out = {"ord": "long", "op": "string", "rec": "rec", "segment": "long", "slot": "long", "generation": "long", "capacity": "long"}
+    return ordered_fold(ops, store, ["ord", "op", "rec"], out, lambda: (Slots(per_segment), {}), step)
 
 
 class Admission:
@@ -80,7 +107,7 @@ class Admission:
             raise ValueError("a segment may have half of the journal's bytes at most")
         self.most_pending, self.most_journal, self.most_segment = most_pending, most_journal, most_segment
         self.pending = self.journal = 0
-        self.frames: list[tuple[int, int]] = []  # (sequence, payload bytes) not acknowledged
+        self.frames: deque[tuple[int, int]] = deque()  # (sequence, payload bytes) not acknowledged
         self.segments: list[list[int]] = []  # [first sequence, last sequence, bytes]; the last one is active
         self.next = 1
         self.marks = [0, 0]  # the sequences of the two acknowledgement checkpoints
@@ -104,7 +131,7 @@ class Admission:
 
     def acknowledge(self) -> list[list[int]]:
         """Frees the oldest frame; returns the closed segments that both checkpoints cover."""
-        sequence, payload = self.frames.pop(0)
+        sequence, payload = self.frames.popleft()
         self.marks[self.marks.index(min(self.marks))] = sequence
         self.pending -= payload
         gone = [s for s in self.segments[:-1] if s[1] <= min(self.marks)]
@@ -116,22 +143,19 @@ class Admission:
 def admit(ops: DataFrame, store: str, most_pending: int, most_journal: int, most_segment: int) -> DataFrame:
     """ops: store, ord, op ('append' or 'ack'), bytes. Returns accepted, sequence, pending and journal bytes and segments after each."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        a, out = Admission(most_pending, most_journal, most_segment), []
-        for r in rows.sort_values("ord").itertuples(index=False):
-            if r.op == "append":
-                sequence = a.append(int(r.bytes))
-                ok = sequence is not None
-            else:
-                ok = bool(a.frames)
-                sequence = a.frames[0][0] if ok else None
-                if ok:
-                    a.acknowledge()
-            out.append((getattr(r, store), int(r.ord), r.op, ok, sequence, a.pending, a.journal, len(a.segments)))
-        return pd.DataFrame(out, columns=[store, "ord", "op", "accepted", "sequence", "pending", "journal", "segments"]).astype({"sequence": "Int64"})
+    def step(a: Admission, at: int, op: str, size: int | None) -> tuple:
+        if op == "append":
+            sequence = a.append(int(size))
+            ok = sequence is not None
+        else:
+            ok = bool(a.frames)
+            sequence = a.frames[0][0] if ok else None
+            if ok:
+                a.acknowledge()
+        return at, op, ok, sequence, a.pending, a.journal, len(a.segments)
 
-    kind = ops.schema[store].dataType.simpleString()
-    return ops.select(store, "ord", "op", "bytes").groupBy(store).applyInPandas(fold, f"{store} {kind}, ord long, op string, accepted boolean, sequence long, pending long, journal long, segments long")
+    out = {"ord": "long", "op": "string", "accepted": "boolean", "sequence": "long", "pending": "long", "journal": "long", "segments": "long"}
+    return ordered_fold(ops, store, ["ord", "op", "bytes"], out, lambda: Admission(most_pending, most_journal, most_segment), step)
 
 
 def frame_rate(stamps: DataFrame, key: str, micros: str = "micros", window: int = 1_000_000) -> DataFrame:
@@ -140,20 +164,16 @@ def frame_rate(stamps: DataFrame, key: str, micros: str = "micros", window: int
     stamps: key, ord, micros.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        anchor = last = None
-        intervals, out = 0, []
-        for r in rows.sort_values("ord").itertuples(index=False):
-            t, rate = int(getattr(r, micros)), None
-            if last is None:
-                anchor = last = t
-            elif t > last:
-                intervals, last = intervals + 1, t
-                if t - anchor >= window:
-                    rate = (intervals * 1_000_000 * 2 + (t - anchor)) // (2 * (t - anchor))
-                    anchor, intervals = t, 0
-            out.append((getattr(r, key), int(r.ord), t, rate))
-        return pd.DataFrame(out, columns=[key, "ord", "micros", "fps"]).astype({"fps": "Int64"})
-
-    kind = stamps.schema[key].dataType.simpleString()
-    return stamps.select(key, "ord", micros).groupBy(key).applyInPandas(fold, f"{key} {kind}, ord long, micros long, fps long")
+    def step(state: dict, at: int, t: int) -> tuple:
+        rate, last = None, state.get("last")
+        if last is None:
+            state.update(anchor=t, last=t, intervals=0)
+        elif t > last:
+            state.update(last=t, intervals=state["intervals"] + 1)
+            since = t - state["anchor"]
+            if since >= window:
+                rate = (state["intervals"] * 1_000_000 * 2 + since) // (2 * since)
+                state.update(anchor=t, intervals=0)
+        return at, t, rate
+
+    return ordered_fold(stamps, key, ["ord", micros], {"ord": "long", "micros": "long", "fps": "long"}, dict, step)

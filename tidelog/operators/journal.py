@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import ordered_fold
+
 ORDER = ("txn", "touch_seq")
 
 
@@ -31,12 +33,24 @@ def loss(changes: DataFrame, capacity: int, name: str) -> DataFrame:
     )
 
 
+def running_total(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """rows with the sum of value up to and including their own in order, which is unique; sorted by ranges, never in one task."""
+    ranged = rows.repartitionByRange(order).select("*", F.spark_partition_id().alias("_piece"))
+    sums = ranged.groupBy("_piece").agg(F.min(order).alias("_low"), F.sum(value).alias("_sum"))  # a row per partition
+    before = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_piece", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy("_piece").orderBy(order))
+    return ranged.join(F.broadcast(sums), "_piece").withColumn(name, (F.col("_before") + own).cast("long")).drop("_piece", "_before")
+
+
 def sample_and_clear(changes: DataFrame, epoch: str, capacity: int, order: Sequence[str] = ORDER) -> DataFrame:
-    """Rings that are read and cleared once per epoch; ``overwritten`` counts each epoch's losses."""
+    """Rings that are read and cleared once per epoch; ``overwritten`` counts each epoch's losses, ``overwritten_total`` all until then."""
     w = Window.partitionBy(epoch)
-    ranked = changes.withColumn("_n", F.row_number().over(w.orderBy(*(F.col(c).desc() for c in order))))
-    totals = changes.groupBy(epoch).agg(F.greatest(F.count("*") - capacity, F.lit(0)).cast("long").alias("overwritten"))
-    return ranked.where(F.col("_n") <= capacity).drop("_n").join(totals, epoch)
+    ranked = changes.withColumn("_n", F.row_number().over(w.orderBy(*(F.col(c).desc() for c in order)))).withColumn("_all", F.count("*").over(w))
+    losses = F.greatest(F.col("_all") - capacity, F.lit(0)).cast("long").alias("overwritten")
+    kept = ranked.where(F.col("_n") <= capacity).select(*changes.columns, "_n", losses)
+    totals = running_total(kept.where("_n = 1").select(epoch, "overwritten"), epoch, "overwritten", "overwritten_total")
+    return kept.drop("_n").join(totals.select(epoch, "overwritten_total"), epoch)
 
 
 def merge(entries: DataFrame, keys: Sequence[str] = ("rec",)) -> DataFrame:
@@ -57,27 +71,19 @@ def with_takes(entries: DataFrame, store: str, capacity: int, overwrite: bool) -
     accepted, length, and the overwritten and rejected counts so far. Counters survive takes.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
-
-        ring, lost, refused, out = deque(), 0, 0, []
-        for r in rows.sort_values("ord").itertuples(index=False):
-            value, accepted = None, True
-            if r.op == "take":
-                value = ring.popleft() if ring else None
-            elif len(ring) < capacity:
-                ring.append(int(r.value))
-            elif overwrite:
-                ring.popleft()
-                ring.append(int(r.value))
-                lost += 1
-            else:
-                refused, accepted = refused + 1, False
-            out.append((getattr(r, store), int(r.ord), r.op, value if r.op == "take" else int(r.value), accepted, len(ring), lost, refused))
-        frame = pd.DataFrame(out, columns=[store, "ord", "op", "value", "accepted", "length", "overwritten", "rejected"])
-        frame["value"] = frame["value"].astype("Int64")
-        return frame
-
-    kind = entries.schema[store].dataType.simpleString()
-    schema = f"{store} {kind}, ord long, op string, value long, accepted boolean, length long, overwritten long, rejected long"
-    return entries.select(store, "ord", "op", "value").groupBy(store).applyInPandas(fold, schema)
+    def step(state: dict, at: int, op: str, value: int | None) -> tuple:
+        ring, accepted = state["ring"], True
+        if op == "take":
+            value = ring.popleft() if ring else None
+        elif len(ring) < capacity:
+            ring.append(value)
+        elif overwrite:
+            ring.popleft()
+            ring.append(value)
+            state["lost"] += 1
+        else:
+            state["refused"], accepted = state["refused"] + 1, False
+        return at, op, value, accepted, len(ring), state["lost"], state["refused"]
+
+    out = {"ord": "long", "op": "string", "value": "long", "accepted": "boolean", "length": "long", "overwritten": "long", "rejected": "long"}
+    return ordered_fold(entries, store, ["ord", "op", "value"], out, lambda: {"ring": deque(), "lost": 0, "refused": 0}, step)

@@ -11,7 +11,7 @@ TICK_CAP = 32_768
 def simulate(spark: SparkSession, ticks: int, sensors: int = 24, seed: int | None = 7) -> DataFrame:
     """Sine and cosine readings of sensors with noise (none if seed is None) and status flags: 1 hot, 2 low pressure, 4 about one in 80."""
     noise = (lambda k: F.rand(seed + k) - 0.5) if seed is not None else (lambda k: F.lit(0.0))
-    base = spark.range(ticks * sensors).select((F.col("id") / sensors).cast("long").alias("tick"), (F.col("id") % sensors).alias("rec"), F.col("id").alias("seq"))
+    base = spark.range(ticks * sensors).select(F.call_function("div", F.col("id"), F.lit(sensors)).alias("tick"), (F.col("id") % sensors).alias("rec"), F.col("id").alias("seq"))
     phase = F.col("tick") * 0.05 + F.col("rec") * 0.7
     read = base.select("*", (24 + 5 * F.sin(phase) + noise(0)).alias("temperature"), (1 + 0.08 * F.cos(phase * 0.6) + 0.01 * noise(1)).alias("pressure"))
     rare = F.pmod(F.xxhash64("seq"), F.lit(80)) == 0
@@ -25,8 +25,8 @@ def paced(ticks: DataFrame, rate: int, cap: int = TICK_CAP) -> DataFrame:
     The carry is what a running sum of elapsed * rate leaves modulo a million, so no fold is needed.
     """
     w = Window.partitionBy("source").orderBy("ord")
-    total = F.sum(F.col("micros") * rate).over(w)
-    whole = F.floor(total / 1_000_000).cast("long")
+    total = F.sum(F.col("micros").cast("long") * F.lit(rate).cast("long")).over(w)
+    whole = F.call_function("div", total, F.lit(1_000_000)).cast("long")  # a quotient of doubles is wrong beyond 2**53
     asked = ticks.withColumn("_whole", whole)
     asked = asked.withColumn("requested", F.col("_whole") - F.coalesce(F.lag("_whole").over(w), F.lit(0)))
     return asked.drop("_whole").withColumn("accepted", F.least("requested", F.lit(cap))).withColumn("dropped", F.col("requested") - F.col("accepted"))

@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.layout import Field, Layout
+from ..functions.layout import CustomField, Field, Layout
 from ..operators import captures, changes, delivery, folds, journal, telemetry
+from ..sources import journal as log
+from ..sources.shared import new_path
+from ..streaming import worker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-CAPACITY, RING, SAMPLE = 1000, 256, 64
+CAPACITY, RING, SAMPLE, SEGMENT = 1000, 256, 64, 64
 FIELDS = {"v": 0.0, "st": 0}
 CODES = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 HOUR_MICROS = 3_600_000_000
@@ -112,7 +115,7 @@ def restored_fields(spark, d):
     return changes.restored(lines(spark, d), FIELDS)
 
 
-@query(f"WITH {E.replace('value AS v', 'floor(value / 20) AS v').replace('CASE event_type', 'CASE lower(substr(event_type, 9))')}, {NET} SELECT rec, txn FROM m WHERE mask = 0")
+@query(f"WITH all_w AS (SELECT user_id AS rec, event_id // 16 AS txn, event_id AS seq, floor(value / 20) AS v FROM events), w AS (SELECT *, 0 AS st FROM all_w), {NET} SELECT rec, txn FROM m WHERE mask = 0")
 def net_zero_transactions(spark, d):
     w = events(spark, d).withColumn("v", F.floor(F.col("v") / 20).cast("double")).withColumn("st", F.lit(0))
     return changes.net_zero(w, FIELDS)
@@ -130,11 +133,12 @@ def journal_reject_newest(spark, d):
 
 @query(
     f"""WITH {E}, {NET}, e AS (SELECT *, txn // 64 AS epoch FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY txn DESC, touch_seq DESC) AS k, count(*) OVER (PARTITION BY epoch) AS total FROM e)
-SELECT epoch, rec, txn, version, mask, greatest(total - {SAMPLE}, 0) AS overwritten FROM n WHERE k <= {SAMPLE}"""
+SELECT epoch, rec, txn, version, mask, greatest(total - {SAMPLE}, 0) AS overwritten,
+(SELECT CAST(sum(greatest(m.total - {SAMPLE}, 0)) AS BIGINT) FROM n m WHERE m.k = 1 AND m.epoch <= n.epoch) AS overwritten_total FROM n WHERE k <= {SAMPLE}"""
 )
 def journal_sample_and_clear(spark, d):
     c = commits(spark, d).withColumn("epoch", F.floor(F.col("txn") / 64).cast("long"))
-    return journal.sample_and_clear(c, "epoch", SAMPLE).select("epoch", "rec", "txn", "version", "mask", "overwritten")
+    return journal.sample_and_clear(c, "epoch", SAMPLE).select("epoch", "rec", "txn", "version", "mask", "overwritten", "overwritten_total")
 
 
 @query(f"WITH {E}, {NET}, j AS (SELECT * FROM c ORDER BY txn DESC, touch_seq DESC LIMIT {CAPACITY}) SELECT rec, max(version) AS version, bit_or(mask) AS mask FROM j GROUP BY rec")
@@ -228,7 +232,8 @@ def frame_coalesced_delivery(spark, d):
 
 @query(
     f"""WITH {DEL}, {LATEST_SQL}, {RANKED} SELECT (SELECT count(*) FROM c) AS committed, (SELECT count(DISTINCT rec) FROM c) AS live, (SELECT count(*) FROM d) AS immediate_delivered,
-(SELECT CAST(sum(coalesced) AS BIGINT) FROM l) AS coalesced, (SELECT count(*) FROM ranked WHERE n > {RING}) AS dropped, (SELECT greatest(count(*) - {CAPACITY}, 0) FROM c) AS overwritten"""
+(SELECT CAST(sum(coalesced) AS BIGINT) FROM l) AS coalesced, (SELECT count(*) FROM ranked WHERE n > {RING}) AS dropped, (SELECT greatest(count(*) - {CAPACITY}, 0) FROM c) AS overwritten,
+CAST(0 AS BIGINT) AS rejected, (SELECT CAST(ceil(count(DISTINCT rec) / {SEGMENT}) AS BIGINT) FROM w) AS segments, (SELECT CAST(ceil(count(DISTINCT rec) / {SEGMENT}) AS BIGINT) * {SEGMENT} FROM w) AS capacity"""
 )
 def store_counters(spark, d):
     c, x = commits(spark, d), deliveries(spark, d)
@@ -236,7 +241,10 @@ def store_counters(spark, d):
     # two counts per epoch carry all that is needed: entries, and subscriptions that have some
     per = x.groupBy("epoch", "sub_id").agg(F.count("*").alias("n")).groupBy("epoch").agg(F.sum("n").alias("n"), F.count("*").alias("subs"))
     b = per.agg(F.sum("n").alias("immediate_delivered"), F.sum(F.col("n") - F.col("subs")).alias("coalesced"), F.sum(F.greatest(F.col("n") - RING, F.lit(0))).alias("dropped"))
-    return a.crossJoin(b).withColumn("overwritten", F.greatest(F.col("committed") - CAPACITY, F.lit(0)).cast("long"))
+    kept = events(spark, d).select("rec").distinct().agg(F.ceil(F.count("*") / SEGMENT).alias("segments"))  # no record is released, so slots fill in order
+    lost = F.greatest(F.col("committed") - CAPACITY, F.lit(0)).cast("long")
+    out = a.crossJoin(b).crossJoin(kept)  # one row each
+    return out.withColumn("overwritten", lost).withColumn("rejected", F.lit(0).cast("long")).withColumn("capacity", F.col("segments") * SEGMENT)
 
 
 @query(
@@ -419,14 +427,27 @@ def journal_admission(spark, d):
     return folds.admit(ops, "store", 4000, 8000, 1000)
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_type AS store, event_id AS ord, CASE WHEN event_id % 4 = 0 THEN 'take' ELSE 'append' END AS op, event_id AS value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+f AS (SELECT DISTINCT store, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS ord, '' AS op, CAST(NULL AS BIGINT) AS value, CAST([] AS BIGINT[]) AS ring, CAST(0 AS BIGINT) AS lost FROM e
+UNION ALL SELECT e.store, e.n, e.ord, e.op, CASE WHEN e.op = 'take' THEN f.ring[1] ELSE e.value END,
+CASE WHEN e.op = 'take' THEN f.ring[2:] WHEN len(f.ring) < 64 THEN list_append(f.ring, e.value) ELSE list_append(f.ring[2:], e.value) END,
+f.lost + CASE WHEN e.op = 'append' AND len(f.ring) >= 64 THEN 1 ELSE 0 END FROM f JOIN e ON e.store = f.store AND e.n = f.n + 1)
+SELECT store, ord, op, value, true AS accepted, CAST(len(ring) AS BIGINT) AS length, lost AS overwritten, CAST(0 AS BIGINT) AS rejected FROM f WHERE n > 0"""
+)
 def journal_with_takes(spark, d):
     e = read(spark, d, "events", "event_id", "event_type")
     ops = e.select(F.col("event_type").alias("store"), F.col("event_id").alias("ord"), F.when(F.col("event_id") % 4 == 0, "take").otherwise("append").alias("op"), F.col("event_id").alias("value"))
     return journal.with_takes(ops, "store", 64, True)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {E}, t AS (SELECT rec, seq AS ord, seq * 16000 AS micros, row_number() OVER (PARTITION BY rec ORDER BY seq) AS n FROM w),
+f AS (SELECT rec, ord, micros, n, micros AS anchor, CAST(0 AS BIGINT) AS gaps, CAST(NULL AS BIGINT) AS fps FROM t WHERE n = 1
+UNION ALL SELECT t.rec, t.ord, t.micros, t.n, CASE WHEN t.micros - f.anchor >= 1000000 THEN t.micros ELSE f.anchor END, CASE WHEN t.micros - f.anchor >= 1000000 THEN 0 ELSE f.gaps + 1 END,
+CASE WHEN t.micros - f.anchor >= 1000000 THEN ((f.gaps + 1) * 2000000 + t.micros - f.anchor) // (2 * (t.micros - f.anchor)) END FROM f JOIN t ON t.rec = f.rec AND t.n = f.n + 1)
+SELECT rec, ord, micros, fps FROM f"""
+)
 def fps_estimate(spark, d):
     e = events(spark, d).select("rec", F.col("seq").alias("ord"), (F.col("seq") * 16_000).alias("micros"))
     return folds.frame_rate(e, "rec")
@@ -443,7 +464,137 @@ def record_codec(spark, d):
     return coded.select(RECORD.decoder("image").alias("r"), F.octet_length("image").alias("bytes")).select("r.*", "bytes")
 
 
-@query()
+STEP = "((({a}) * 31 + ({b})) & 2147483647)"
+#: Bytes of a code point c in UTF-8, folded one by one.
+UTF8 = [
+    ("c < 128", ["c"]),
+    ("c < 2048", ["192 + (c >> 6)", "128 + (c & 63)"]),
+    ("c < 65536", ["224 + (c >> 12)", "128 + ((c >> 6) & 63)", "128 + (c & 63)"]),
+    ("true", ["240 + (c >> 18)", "128 + ((c >> 12) & 63)", "128 + ((c >> 6) & 63)", "128 + (c & 63)"]),
+]
+
+
+def _folded(parts: list[str]) -> str:
+    out = "a"
+    for b in parts:
+        out = STEP.format(a=out, b=b)
+    return out
+
+
+POLY_TEXT = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(text, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda a, c: CASE " + " ".join(f"WHEN {when} THEN {_folded(parts)}" for when, parts in UTF8) + " END)"
+
+
+@query(f"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE {POLY_TEXT} END AS checksum FROM documents")
 def checksum_documents(spark, d):
     """Long payloads: the vectorised checksum over whole texts."""
     return read(spark, d, "documents", "doc_id", "text").select("doc_id", C.poly31_long(F.encode("text", "UTF-8")).alias("checksum"))
+
+
+@query(
+    f"""WITH {E}, {DIRTY}, per AS (SELECT txn, count(*) * 32 AS held FROM dirty WHERE dirty <> 0 GROUP BY txn) SELECT coalesce(max(held), 0) AS high_water, count(*) AS transactions FROM per"""
+)
+def scratch_high_water(spark, d):
+    return changes.scratch_high_water(events(spark, d), FIELDS, RECORD.size)
+
+
+#: A value as whole cents in eight digits of text, which counts as changed from a difference of 5.00 on.
+CENTS = CustomField("cents", 8, lambda v: F.encode(F.lpad(F.round(v * 100).cast("long").cast("string"), 8, "0"), "UTF-8"), lambda raw: F.decode(raw, "UTF-8").cast("long"), lambda a, b: F.abs(a - b) >= 500)
+
+
+@query(
+    f"""WITH w0 AS (SELECT user_id AS rec, event_id // 16 AS txn, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS cents FROM events), f AS (SELECT rec, txn, min(seq) AS touch_seq, max_by(cents, seq) AS cents FROM w0 GROUP BY rec, txn),
+p AS (SELECT *, coalesce(lag(cents) OVER (PARTITION BY rec ORDER BY txn), 0) AS before FROM f) SELECT rec, txn, row_number() OVER (PARTITION BY rec ORDER BY txn) AS version, cents FROM p WHERE abs(cents - before) >= 500"""
+)
+def custom_field_changes(spark, d):
+    """A field with its own encoding and its own test of change."""
+    w = events(spark, d).select("rec", "txn", "seq", CENTS.stored(F.col("v")).alias("cents"))
+    c = changes.net_changes(w, {"cents": b"00000000"}, custom={"cents": CENTS})
+    return c.select("rec", "txn", "version", CENTS.decode(F.col("cents")).alias("cents"))
+
+
+@query(
+    f"""WITH {DEL}, o AS (SELECT * FROM d WHERE epoch = (SELECT max(epoch) FROM d)), q AS (SELECT sub_id, row_number() OVER (ORDER BY txn DESC, touch_seq DESC, sub_ord DESC) AS n FROM o),
+a AS (SELECT DISTINCT sub_id FROM o), b AS (SELECT sub_id, count(*) AS n FROM q WHERE n <= {RING} GROUP BY sub_id)
+SELECT s.sub_id, CAST(CASE WHEN a.sub_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS latest_pending, coalesce(b.n, 0) AS batched_pending FROM s LEFT JOIN a ON s.sub_id = a.sub_id LEFT JOIN b ON s.sub_id = b.sub_id"""
+)
+def delivery_pending(spark, d):
+    return delivery.pending(deliveries(spark, d), subscriptions(spark, d), RING)
+
+
+@query(
+    f"""WITH {E}, {NET} SELECT rec, version, CAST(mask | 4 AS INTEGER) AS joined, (mask & 2) <> 0 AS has_st, mask = 0 AS nothing, (mask & 2) <> 0 AS meets, rec % 31 AS high_bit, CAST(1 << (rec % 31) AS BIGINT) AS high_word FROM c"""
+)
+def mask_algebra(spark, d):
+    """Masks as words of a wide layout: union, test of a field, emptiness, intersection, and a field of the second word."""
+    wide = Layout("wide", [Field(f"f{i}", "uint8") for i in range(62)])
+    picked = F.array(F.lit(0), F.call_function("shiftleft", F.lit(1), (F.col("rec") % 31).cast("int")))  # field 31 + rec % 31
+    c = commits(spark, d).select("rec", "version", F.array(F.col("mask"), F.lit(0)).alias("words"), picked.alias("picked"))
+    has = F.lit(None).cast("long")
+    for i in range(31, 62):
+        has = F.when(C.wide_contains(F.col("picked"), i), i - 31).otherwise(has)
+    words = lambda *names: F.array(*map(F.lit, wide.selection(*names)))
+    return c.select(
+        "rec", "version", F.get(C.wide_union(F.col("words"), words("f2")), F.lit(0)).alias("joined"), C.wide_contains(F.col("words"), 1).alias("has_st"), C.is_empty(F.col("words")).alias("nothing"),
+        C.intersects(F.col("words"), words("f1", "f40")).alias("meets"), has.cast("long").alias("high_bit"), F.get("picked", F.lit(1)).cast("long").alias("high_word"),
+    )
+
+
+PHASE = "(i // 24 * 0.05 + i % 24 * 0.7)"
+
+
+@query(
+    f"""SELECT i // 24 AS tick, i % 24 AS rec, (24 + 5 * sin({PHASE}) > 28.5) AS hot, (1 + 0.08 * cos({PHASE} * 0.6) < 0.93) AS low,
+CAST((CASE WHEN 24 + 5 * sin({PHASE}) > 28.5 THEN 1 ELSE 0 END) + (CASE WHEN 1 + 0.08 * cos({PHASE} * 0.6) < 0.93 THEN 2 ELSE 0 END) AS INTEGER) AS flags FROM range(24000) r(i)"""
+)
+def telemetry_status(spark, d):
+    s = telemetry.simulate(spark, 1000, seed=None)
+    return s.select("tick", "rec", C.contains(F.col("status"), 0).alias("hot"), C.contains(F.col("status"), 1).alias("low"), F.col("status").bitwiseAND(F.lit(3)).alias("flags"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('l_orderkey', 0, 8, 0), ('l_partkey', 8, 8, 1), ('l_suppkey', 16, 8, 2), ('l_linenumber', 24, 4, 3), ('l_quantity', 32, 8, 4), ('l_extendedprice', 40, 8, 5), ('l_discount', 48, 8, 6), ('l_tax', 56, 8, 7)) t(name, start, width, place)"""
+)
+def layout_of_table(spark, d):
+    """The layout that the numbers of a table's schema give: offsets are aligned."""
+    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
+    lay = Layout.of(type(schema)([f for f in schema.fields if f.dataType.typeName() in ("integer", "long", "double")]), "line")
+    rows = [(f.name, f.metadata["offset"], f.metadata["width"], f.metadata["index"]) for f in lay.schema()]
+    return spark.createDataFrame(rows, "name string, start int, width int, place int")
+
+
+def journalled(spark, d) -> str:
+    """Events as a binary journal in the shared folder: every tenth releases its record."""
+    e, gone = read(spark, d, "events", "event_id", "user_id", "event_type"), F.col("event_id") % 10 == 9
+    some = lambda c: F.when(~gone, c)
+    rows = e.select(
+        (F.col("event_id") + 1).alias("sequence"), F.lit(0).alias("op_idx"), F.lit("incremental").alias("kind"), F.when(gone, "release").otherwise("snapshot").alias("op"),
+        F.lit(0).cast("long").alias("segment"), F.col("user_id").alias("slot"), F.lit(1).cast("long").alias("generation"), some(F.lit("event")).alias("layout_identity"), some(F.lit(3).cast("long")).alias("layout_version"),
+        some(F.col("event_id").cast("decimal(20,0)")).alias("version"), some(F.encode("event_type", "UTF-8")).alias("image"),
+    )
+    path = new_path(spark, "journal")
+    log.write_captures(rows, path)
+    return path
+
+
+@query("SELECT event_id + 1 AS sequence, CASE WHEN event_id % 10 = 9 THEN 'release' ELSE 'snapshot' END AS op, user_id AS slot, CASE WHEN event_id % 10 <> 9 THEN event_id END AS version, CASE WHEN event_id % 10 <> 9 THEN event_type END AS image FROM events")
+def journal_round_trip(spark, d):
+    """Captures through the binary journal: sink, then source."""
+    back = log.read_captures(spark, journalled(spark, d))
+    return back.select("sequence", "op", "slot", F.col("version").cast("long").alias("version"), F.decode("image", "UTF-8").alias("image"))
+
+
+@query(
+    f"""SELECT event_id + 1 AS sequence, CASE WHEN event_id % 10 <> 9 THEN CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), {BYTES.format(c='event_type')}), lambda a, b: (a * 31 + b) & 2147483647) AS BIGINT) END AS checksum,
+CASE WHEN event_id % 10 <> 9 THEN length(event_type) END AS frame_count, event_id % 10 = 9 AS failed FROM events"""
+)
+def journal_stream_checksums(spark, d):
+    """The journal as a stream of bounded offers through the byte worker, whose failures stay with their batch."""
+    path, n = journalled(spark, d), spark.read.parquet(f"{d}/events.parquet").count()
+    stream = spark.readStream.format("capture_journal").option("path", path).option("maxSequencesPerTrigger", str(max(1, -(-n // 3)))).load()
+    done = worker.process(stream, payload="image")
+    q = done.writeStream.format("parquet").option("path", f"{path}.out").option("checkpointLocation", f"{path}.checkpoint").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.parquet(f"{path}.out").select("sequence", "checksum", "frame_count", F.col("error").isNotNull().alias("failed"))

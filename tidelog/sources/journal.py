@@ -5,12 +5,14 @@ All numbers are big-endian. The file formats are fixed values of the interchange
 
 from __future__ import annotations
 
+import contextlib
 import fcntl
 import os
 import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -210,6 +212,7 @@ class Journal:
             self._release()
             raise
         self._file = None
+        self._read: tuple[int, dict[int, bytes]] = (0, {})
         self.outstanding: int | None = None
 
     def _release(self) -> None:
@@ -303,7 +306,9 @@ class Journal:
         sequence = self.admission.frames[0][0]
         first = max(s[0] for s in self.admission.segments if s[0] <= sequence)
         try:
-            payload = dict(read_segment(self._segment_file(first))[1])[sequence]
+            if self._read[0] != first or sequence not in self._read[1]:  # a segment is read once, and again only for frames that came since
+                self._read = (first, dict(read_segment(self._segment_file(first))[1]))
+            payload = self._read[1][sequence]
         except (IntegrityError, KeyError, OSError) as e:
             self.failed = e if isinstance(e, IntegrityError) else IntegrityError(f"frame {sequence} cannot be read")
             raise self.failed from e
@@ -386,10 +391,30 @@ class JournalReader(DataSourceReader):
 
 
 class JournalStreamReader(DataSourceStreamReader):
-    """Offsets are sequences; commit() is the acknowledgement, kept by the checkpoint of the query."""
+    """Offsets are sequences; commit() is the acknowledgement, kept by the checkpoint of the query.
+
+    With the option maxsequencespertrigger an offer ends so many sequences after what was last planned or acknowledged; the
+    acknowledged sequence is kept beside the journal, so after a restart an offer is twice that long at most. Spark asks a Python
+    source once for the end of an availableNow run, so such a run takes one offer; others go on to the end. With reclaim
+    (true), segments whose sequences are all acknowledged are deleted, but for the last one, which tells where the journal goes on.
+    """
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
+        self.most, self.reclaim = int(options.get("maxsequencespertrigger", 0)), options.get("reclaim", "false").lower() == "true"
+        if self.most < 0:
+            raise EngineError("maxSequencesPerTrigger must be positive")
+        self.at: int | None = None
+
+    def _acknowledged(self) -> str:
+        return f"{self.path}.metadata/stream"
+
+    def _reached(self) -> int:
+        """The sequence up to which the stream has planned or, after a restart, acknowledged."""
+        if self.at is None:
+            with contextlib.suppress(FileNotFoundError), open(self._acknowledged()) as f:
+                return int(f.read()) + self.most
+        return self.at or self.initialOffset()["sequence"]
 
     def initialOffset(self) -> dict:  # noqa: N802
         files = segment_files(self.path)  # acknowledged segments may be gone
@@ -397,10 +422,12 @@ class JournalStreamReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:  # noqa: N802
         files = segment_files(self.path)
-        return {"sequence": segment_end(files[-1][1])[1] if files else 1}
+        end = segment_end(files[-1][1])[1] if files else 1
+        return {"sequence": min(end, self._reached() + self.most) if self.most else end}
 
     def partitions(self, start: dict, end: dict) -> list[SegmentPartition]:
         low, high = start["sequence"], end["sequence"]
+        self.at = high
         planned = _plan(self.path, low, high)
         if high < low or low < high and not (planned and planned[0].first <= low and planned[-1].after >= high):
             raise IntegrityError(f"{self.path}: sequences of [{low}, {high}) are missing")
@@ -410,7 +437,20 @@ class JournalStreamReader(DataSourceStreamReader):
         return _rows(partition)
 
     def commit(self, end: dict) -> None:
-        pass
+        done = end["sequence"]
+        self.at = max(self.at or 0, done)
+        if self.most:
+            os.makedirs(f"{self.path}.metadata", exist_ok=True)
+            with open(f"{self._acknowledged()}.new", "w") as f:
+                f.write(str(done))
+                f.flush()
+                os.fsync(f.fileno())
+            os.replace(f"{self._acknowledged()}.new", self._acknowledged())
+        if self.reclaim:
+            files = segment_files(self.path)
+            for (_, file), (after, _) in pairwise(files):
+                if after <= done:
+                    os.remove(file)
 
 
 @dataclass
@@ -421,11 +461,12 @@ class Written(WriterCommitMessage):
 class JournalWriter(DataSourceWriter):
     """Each task writes the captures it holds as segments under temporary names; commit checks that sequences follow on and names them.
 
-    Rows must be range-partitioned and sorted by (sequence, op_idx); see write_captures.
+    Mode append goes on where the journal ends and refuses any other sequence; overwrite replaces it. Files are forced to
+    storage before they get their names. Rows must be range-partitioned and sorted by (sequence, op_idx); see write_captures.
     """
 
-    def __init__(self, options: dict) -> None:
-        self.path, self.most = options["path"], int(options.get("segmentbytes", MOST_SEGMENT))
+    def __init__(self, options: dict, overwrite: bool = False) -> None:
+        self.path, self.most, self.overwrite = options["path"], int(options.get("segmentbytes", MOST_SEGMENT)), overwrite
 
     def write(self, rows: Iterator) -> Written:
         import uuid
@@ -433,12 +474,17 @@ class JournalWriter(DataSourceWriter):
         os.makedirs(f"{self.path}.segments", exist_ok=True)
         done, current, first, last = [], None, None, None
 
+        def finish() -> None:
+            current.flush()
+            os.fsync(current.fileno())
+            current.close()
+            done.append((first, last, current.name))
+
         def put(sequence: int, kind: str, ops: list[Op]) -> None:
             nonlocal current, first, last
             data = frame(sequence, encode_batch(CHECKPOINT if kind == "checkpoint" else INCREMENTAL, ops))
             if current and current.tell() + len(data) > self.most:
-                current.close()
-                done.append((first, last, current.name))
+                finish()
                 current = None
             if current is None:
                 current, first = open(f"{self.path}.segments/.{uuid.uuid4().hex}", "wb"), sequence  # noqa: SIM115
@@ -459,19 +505,27 @@ class JournalWriter(DataSourceWriter):
                 batch.append(Op(r.segment, r.slot, r.generation, False, r.layout_identity, r.layout_version, int(r.version), bytes(r.image)))
         if at is not None:
             put(*at, batch)
-            current.close()
-            done.append((first, last, current.name))
+            finish()
         return Written(done)
 
     def commit(self, messages: list) -> None:
         segments = sorted(s for m in messages if m for s in m.segments)
-        want = segments[0][0] if segments else 1
+        held = segment_files(self.path)
+        want = segment_end(held[-1][1])[1] if held and not self.overwrite else segments[0][0] if segments else 1
         for first, last, _ in segments:
             if first != want:
-                raise IntegrityError(f"sequence {want} is missing")
+                self.abort(messages)
+                raise IntegrityError(f"sequence {want} is missing" if first > want else f"sequence {first} is there already")
             want = last + 1
+        for _, file in held if self.overwrite else ():
+            os.remove(file)
         for first, _, name in segments:
-            os.rename(name, f"{self.path}.segments/segment-{first:016d}.psjs")
+            os.link(name, f"{self.path}.segments/segment-{first:016d}.psjs")  # unlike a rename, never onto another segment
+            os.remove(name)
+        if segments:
+            folder = os.open(f"{self.path}.segments", os.O_RDONLY)
+            os.fsync(folder)
+            os.close(folder)
 
     def abort(self, messages: list) -> None:
         for m in messages:
@@ -497,15 +551,16 @@ class CaptureJournal(DataSource):
         return JournalStreamReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> JournalWriter:
-        return JournalWriter(self.options)
+        return JournalWriter(self.options, overwrite)
 
 
-def write_captures(captures, path: str, partitions: int = 1) -> None:
-    """Captures as a binary journal, in sequence order; a sequence is never split."""
+def write_captures(captures, path: str, partitions: int | None = None, mode: str = "append") -> None:
+    """Captures as a binary journal, in sequence order, by default in as many tasks as the session shuffles to; a sequence is never split."""
+    partitions = partitions or int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     captures.sparkSession.dataSource.register(CaptureJournal)
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     ordered = captures.select(*columns).repartitionByRange(partitions, "sequence").sortWithinPartitions("sequence", "op_idx")
-    ordered.write.format("capture_journal").mode("append").option("path", path).save()
+    ordered.write.format("capture_journal").mode(mode).option("path", path).save()
 
 
 def read_captures(spark, path: str, low: int = 0, high: int = 1 << 62):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.delivery import batched, dispatch, flush, latest
+from ..operators.delivery import batched, dispatch, few, flush, latest
 
 
 def net_change_stream(writes: DataFrame, fields: dict[str, object]) -> DataFrame:
@@ -93,5 +93,5 @@ def frames(changes: DataFrame, ts: str, filters: DataFrame, frame: str = "16 mil
     """Frame-coalesced notifications by event time, for streams: one row per filter and frame once the watermark passed it."""
     from ..functions.columns import ui_matches
 
-    on = changes.withWatermark(ts, late).join(F.broadcast(filters), ui_matches(F.col("fields"), F.col("mask")))
+    on = changes.withWatermark(ts, late).join(F.broadcast(few(filters)), ui_matches(F.col("fields"), F.col("mask")))
     return on.groupBy("filter_id", F.window(ts, frame)).agg(F.count("*").alias("accepted"), (F.count("*") - 1).alias("coalesced"), F.bit_or("mask").alias("mask"))

@@ -15,7 +15,7 @@ TRANSFORMS = ("checksum", "frames")
 def process(batches: DataFrame, frame_size: int = 1, payload: str = "payload", sequence: str = "sequence") -> DataFrame:
     """sequence, checksum, frame_count, error; a batch whose bytes do not divide into frames has an error and no results.
 
-    Backpressure is the source's: maxFilesPerTrigger, maxOffsetsPerTrigger. The capture journal has none: a Python source of this Spark cannot bound an offer by its start, so one micro-batch takes all there is.
+    What is in flight is bounded by the source: maxFilesPerTrigger, maxOffsetsPerTrigger, maxSequencesPerTrigger of the capture journal.
     """
     if frame_size < 1:
         raise ValueError("frames have a byte at least")
