@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import components, language, minhash, mixing, packing, pii, quality, secrets, substrings, tokens, vectors
-from tidelog.llm.queries import QUERIES, tokenizer
+from tidelog.llm.queries import ORACLE_SQL, QUERIES, tokenizer
 
 from . import brute
 
@@ -616,6 +616,16 @@ def test_flight_keeps_totals():
     assert sum(0 < x < 1 for x in q) <= 2 and abs(sum(q) - sum(p)) < 1e-6 and abs(sum(a * b for a, b in zip(q, z, strict=True)) - 0.37 * sum(z)) < 1e-3
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_match_sql(spark, sf, name):
+    import duckdb
+
+    c, df = duckdb.connect(), QUERIES[name](spark, sf)
+    for t in ("documents", "embeddings"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(c.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name, sf):
     for t in ("documents", "embeddings", "labels"):
