@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import language, minhash, mixing, packing, secrets
-from tidelog.llm.common import WORD_SPACE, durable, fresh, shared_folder
+from tidelog.llm.common import WORD_SPACE, durable, fresh
 from tidelog.llm.queries import tokenizer
+from tidelog.sources.shared import shared_folder
 
 #: A document whose language is unknown, or whose windows are each told with less than this score in the mean, goes.
 LEAST_SCORE = 0.5
