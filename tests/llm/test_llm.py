@@ -206,6 +206,41 @@ def test_minhash_large_buckets_in_blocks(spark, monkeypatch):
     assert got == want and len(set(want.values())) > 3
 
 
+def test_boilerplate_meets_nowhere(spark, monkeypatch):
+    """5000 documents of mutual similarity near 0.7, some of them with near copies: their buckets are large, and no pairs of them are compared."""
+    rng, held = random.Random(27), []
+    blocks = minhash._by_blocks
+    monkeypatch.setattr(minhash, "_by_blocks", lambda rows, *a: (held.append(rows.count()), blocks(rows, *a))[1])
+    core, texts = " ".join(f"w{i}" for i in range(82)), []
+    for k in range(5000):
+        own = [f"{k}x{i}" for i in range(17)]
+        texts.append(core + " " + " ".join(own))
+        if k % 500 == 0:
+            texts.append(core + " " + " ".join([*own[:-1], "end"]))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts), width=4).collect()}
+    assert sum(c != d for d, c in got.items()) == 10 and all(got[d] == d - 1 for d in range(1, len(texts)) if texts[d].endswith("end"))
+    assert sum(held) < 100
+
+
+def test_prefixes_lose_no_pair(spark, monkeypatch):
+    """All pairs of similar sets share a bucket of the sifted ones."""
+    rng = random.Random(28)
+    sets = {k: {rng.randrange(30) if rng.random() < 0.7 else 1000 + rng.randrange(200) for _ in range(rng.randrange(1, 60))} for k in range(150)}
+    for k in range(150, 220):
+        base = set(rng.choice(list(sets.values())))
+        for _ in range(rng.randrange(0, 6)):
+            base.discard(rng.choice(sorted(base))) if len(base) > 1 and rng.random() < 0.5 else base.add(5000 + rng.randrange(100))
+        sets[k] = base
+    nodes = spark.createDataFrame([(k, len(v), k) for k, v in sets.items()], "rep long, n long, comp long")
+    full = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "doc long, set array<long>")
+    by = defaultdict(set)
+    for r in minhash.sifted(nodes, full, 80).collect():
+        by[r.bucket].add(r.rep)
+    met = {(a, b) for g in by.values() for a in g for b in g}
+    near = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(near) > 30 and all(p in met for p in near) and len(met) < 0.6 * 220 * 220
+
+
 def test_minhash_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (2, "q r s t u v"), (3, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=str)

@@ -7,9 +7,13 @@ shifted circularly by k. Neighbouring coordinates are neighbours in memory, so o
 Documents with equal sets are one node from the start. Signature bands are buckets; verification compares full sets.
 Within a bucket all nodes are first compared with the bucket's smallest, which links most of a large group in linear work.
 In buckets that still hold more than one component, all pairs whose ends are in different components and whose set sizes
-allow the similarity are compared: as rows in small buckets, and in large ones within tasks that each get two blocks of the
-bucket, count all intersections by one matrix product over the hashes that both blocks hold, and return a spanning forest of
-the links. So no candidate is left out, no bucket meets in one task, and large buckets never become rows of pairs.
+allow the similarity are compared. In small buckets they are compared as rows. The nodes of large ones are first sifted: with
+the hashes of each set in order of how many of these nodes hold them, rarest first, two sets that are similar enough share one
+of the first ninth of the smaller and one of the first fifth of the larger (at 80 %). Documents that share boilerplate and have
+their own rest meet nowhere then. What still shares such a hash is compared, as rows where few nodes share it, else within tasks
+that each get two blocks of these nodes, bounded in nodes and bytes, count all intersections by one matrix product over the hashes
+that both blocks hold, and return a spanning forest of the links. So no candidate is left out, no bucket meets in one task, and
+large ones never become rows of pairs.
 
 Results for special input: null text, or text without words, has an empty set and links with nothing; a null id links with
 nothing (component null, kept); rows that share an id are one node with all their texts' links; an empty table gives an
@@ -32,8 +36,8 @@ from .components import components
 PLACES = 1 << 21
 #: 40 bands of 6 coordinates: a pair at 0.8 is missed with probability (1 - 0.8**6)**40 = 5e-6.
 BANDS, ROWS = 40, 6
-#: Buckets of up to SMALL nodes are compared as rows; larger ones in blocks of about BLOCK nodes.
-SMALL, BLOCK = 32, 256
+#: Up to SMALL nodes are compared as rows; more in blocks of about BLOCK nodes, fewer if their sets have more than BLOCK_BYTES.
+SMALL, BLOCK, BLOCK_BYTES = 32, 256, 8 << 20
 
 
 def shingles(raw: bytes, words: Words, width: int) -> np.ndarray:
@@ -84,19 +88,17 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, circulant = Words(), Circulant()
-        for big in batches:
-            for i in range(0, len(big), 1000):
-                batch = big.slice(i, 1000)
-                n, fp, bands = [], [], []
-                for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                    s = shingles(raw or b"", words, width)
-                    n.append(len(s))
-                    fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    if len(s):
-                        bands.append(circulant.band_hashes(s))
-                ends = np.concatenate([[0], np.cumsum(np.array(n) > 0) * BANDS]).astype(np.int32)
-                flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc", "n", "fp", "bands"])
+        for batch in slices(batches):
+            n, fp, bands = [], [], []
+            for raw in batch.column(1).cast(pa.binary()).to_pylist():
+                s = shingles(raw or b"", words, width)
+                n.append(len(s))
+                fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                if len(s):
+                    bands.append(circulant.band_hashes(s))
+            ends = np.concatenate([[0], np.cumsum(np.array(n) > 0) * BANDS]).astype(np.int32)
+            flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc", "n", "fp", "bands"])
 
     kind = docs.schema[0].dataType.simpleString()
     return docs.mapInArrow(returning(scan), f"doc {kind}, n long, fp binary, bands array<long>")
@@ -107,12 +109,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for big in batches:
-            for i in range(0, len(big), 1000):
-                batch = big.slice(i, 1000)
-                sets = [shingles(raw or b"", words, width).view(np.int64) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc", "set"])
+        for batch in slices(batches):
+            sets = [shingles(raw or b"", words, width).view(np.int64) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc", "set"])
 
     kind = docs.schema[0].dataType.simpleString()
     return docs.mapInArrow(returning(scan), f"doc {kind}, set array<long>")
@@ -139,8 +139,8 @@ def forest(near: np.ndarray) -> np.ndarray:
 
 
 def _by_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what the pairs of each large bucket connect. rows: bucket, rep, n, comp, size."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    """Links (a, b) that connect what the pairs of each large group connect. rows: bucket (the group), rep, n, comp, size (its nodes), held (the sum of their n)."""
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(8 * F.col("held") / BLOCK_BYTES)).cast("int")
     dealt = rows.join(sets.withColumnRenamed("doc", "rep"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "comp", "set")
     kind = rows.schema["rep"].dataType.simpleString()
@@ -172,6 +172,29 @@ def _by_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
+def sifted(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """nodes: rep, n, comp. Rows bucket (a hash), rep, n, comp, size, held of the nodes that share a hash of their prefixes, so that all similar pairs are in one.
+
+    Hashes are ordered by the number of nodes that hold them, then by value. Of sets x and y, x not the larger one, that share
+    at least percent / 100 of their union, x has a shared hash among its first n - ceil(2 percent n / (100 + percent)) + 1, and
+    y among its first n - ceil(percent n / 100) + 1. Hashes that the same nodes have in their prefixes count once.
+    """
+    each = nodes.join(sets.withColumnRenamed("doc", "rep"), "rep").select("rep", "n", "comp", F.explode("set").alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    order = F.sort_array(F.collect_list(F.struct("often", "token")))
+    listed = each.join(common, "token").groupBy("rep", "n", "comp").agg(order.alias("order"))
+    alone = F.col("n") - F.size("order")  # hashes that no other node has come first
+    probe = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    index = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+    first = F.slice("order", F.lit(1), F.greatest(probe - alone, F.lit(0)).cast("int"))
+    held = listed.select("rep", "n", "comp", (index - alone).alias("index"), F.posexplode(first).alias("at", "entry")).select("rep", "n", "comp", (F.col("at") < F.col("index")).alias("small"), F.col("entry.token").alias("bucket"))
+    held = durable(held)
+    who = [F.bit_xor(F.xxhash64(F.lit(k), "rep", "small")).alias(f"who{k}") for k in range(2)]
+    groups = held.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("held"), F.max("small").alias("any"), F.min("comp").alias("low"), F.max("comp").alias("high"), *who).where("size > 1 and any and low < high")
+    groups = groups.groupBy("size", "held", "who0", "who1").agg(F.min("bucket").alias("bucket"))
+    return held.join(groups.select("bucket", "size", "held"), "bucket").select("bucket", "rep", "n", "comp", "size", "held")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hubs: int = 1) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     source = need(docs, id_col, text_col).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
@@ -200,16 +223,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = rows.join(comp, rows["rep"] == comp["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     split = held.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size")
     held = durable(held.join(split, "bucket"))
-    small = held.where(F.col("size") <= SMALL)
-    other = small.select("bucket", F.col("rep").alias("c"), F.col("n").alias("m"), F.col("comp").alias("cc"))
-    pairs = small.join(other, "bucket").where((F.col("comp") < F.col("cc")) & fits).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+    large = held.where(F.col("size") > SMALL).select("rep", "n", "comp").distinct()
+    shared = durable(sifted(large, sets, percent))
+    few = held.where(F.col("size") <= SMALL).select("bucket", "rep", "n", "comp").unionByName(shared.where(F.col("size") <= SMALL).select("bucket", "rep", "n", "comp"))
+    other = few.select("bucket", F.col("rep").alias("c"), F.col("n").alias("m"), F.col("comp").alias("cc"))
+    pairs = few.join(other, "bucket").where((F.col("comp") < F.col("cc")) & fits).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
     rest = _verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent)
-    new = durable(rest.unionByName(_by_blocks(held.where(F.col("size") > SMALL), sets, percent)))
+    new = durable(rest.unionByName(_by_blocks(shared.where(F.col("size") > SMALL), sets, percent)))
     if not new.isEmpty():
         comp = components(links.unionByName(new))
     # rows that share an id join their texts' nodes
     label = first.join(comp, first["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(label, "fp", "left")
+    empty = signed.where(F.col("fp").isNull()).select("doc", "n", F.lit(None).cast(signed.schema["doc"].dataType).alias("component"))
+    out = signed.where(F.col("fp").isNotNull()).select("doc", "n", "fp").join(label, "fp", "left").select("doc", "n", "component").unionByName(empty)
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
 
