@@ -272,6 +272,18 @@ def test_vectors(spark):
         assert got[408][1] == got[409][1] == 408
 
 
+def test_vectors_in_nested_levels(spark):
+    """Clusters of clusters in many levels; a ball whose vectors are all linked is counted by sums, also against its neighbours."""
+    rng = np.random.default_rng(8)
+    far = rng.normal(size=(6, 12))
+    mid = np.concatenate([c + rng.normal(size=(5, 12)) * 0.35 for c in far])
+    x = np.concatenate([c + rng.normal(size=(rng.integers(2, 25), 12)) * rng.choice([0.002, 0.05, 0.15]) for c in mid] + [far[0] + rng.normal(size=(150, 12)) * 0.001])
+    rows = [(int(k), [float(v) for v in x[i]]) for i, k in enumerate(rng.permutation(len(x)))] + [(1000 + k, [float(v) for v in x[0]]) for k in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df, block=12).collect()}
+    assert got == brute.vectors(rows)
+
+
 def test_vectors_table(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.query(df).collect()}

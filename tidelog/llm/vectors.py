@@ -6,11 +6,13 @@ trees are walked at once: a pair of nodes whose centres are further apart than b
 pruned; a pair that is close enough for all below it to be linked is counted as a whole, so a large group of near copies
 costs one entry; what is left is compared exactly, in double precision.
 
-Distribution: equal vectors are one node with a weight from the start. The top of the tree is a bounded number of pivots;
-each vector lies in the cell of its nearest pivot, large cells are dealt to blocks by a hash, and only pairs of blocks
-whose cells pass the same covering-radius bound meet in a task. A task returns at most one row per vector: its links there
+Distribution: equal vectors are one node with a weight from the start. The upper levels are grown on the cluster, level by level:
+a node of more than two blocks of vectors gets children around a bounded number of centres, with exact covering radii, and its
+members are dealt to them in chunks. The upper levels are walked at once too, as a table of pairs of nodes that the same bound leaves open.
+Where two nodes are so close that all their vectors are linked, sums are all that is needed, however large they are. What is left are
+pairs of nodes of about a block, which meet in a task with a cover tree each. A task returns at most one row per vector: its links there
 and the smallest vector of its connected group there, never the pairs. Data that no bound can prune meet in all pairs of blocks; the
-number of copies of a vector is then the number of blocks, which ``block`` governs.
+number of copies of a vector is then half the number of blocks, which ``block`` governs.
 
 Results for special input: vectors that are null, empty, zero or hold null or non-finite parts link with nothing, and so do
 vectors of different lengths with each other; a null id links with nothing (component null, kept); rows that share an id are
@@ -19,17 +21,20 @@ one node; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, need, whole_ids
+from .common import durable, need, returning, whole_ids
 from .components import components
 
-BLOCK, PIVOTS, LEAF = 4096, 1024, 24
+BLOCK, LEAF = 4096, 24
+#: Centres that a node's children get at most; levels until a node that is still large is dealt by a hash.
+FAN, LEVELS = 256, 40
 MARGIN = 1e-7
 
 
@@ -238,61 +243,167 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(c.flatten()).reshape(len(c), -1)
 
 
+def _leaves(column: pa.Array) -> np.ndarray:
+    """The numbers of a column of lists, or of lists of lists, one after the other."""
+    while pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        column = column.flatten()
+    return np.asarray(column)
+
+
+def _far_apart(x: np.ndarray, net: np.ndarray, gap: float) -> np.ndarray:
+    """net, and the rows of x that are further than gap from it and from those taken before them."""
+    taken, least = [], chord(x, net).min(axis=1)
+    for i in range(len(x)):
+        if least[i] > gap:
+            taken.append(i)
+            least = np.minimum(least, chord(x, x[i : i + 1])[:, 0])
+    return np.concatenate([net, x[taken]])
+
+
+def _split(members: DataFrame, large: DataFrame, block: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """One level. members: rep, copies, vec, node; large: the nodes to split. Returns members of the children, and the children with their parents.
+
+    The centres of a node's children are its own centre and some of its vectors, further apart than half its radius. A vector
+    goes to its nearest centre; those within half the radius and those beyond it are two children. The members of a node meet its centres in
+    chunks, so a node of any size is dealt to many tasks.
+    """
+    wanted = F.least(F.lit(FAN), F.ceil(F.col("size") / block))
+    held = members.join(large.select("node", "size", "radius", "centre"), "node")
+    place = F.xxhash64("rep", F.lit(level))
+    lead = held.withColumn("place", place).where(F.pmod("place", F.col("size")) < 4 * wanted)  # a few times the wanted number, whatever the size
+    lead = lead.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("place", "rep"))).where(F.col("at") <= wanted)
+
+    def choose(t: pa.Table) -> pa.Table:
+        x, centre = unit(_matrix(t["vec"])), np.asarray(t["centre"][0].as_py())[None]
+        net = _far_apart(x, centre, t["radius"][0].as_py() / 2)
+        return pa.table({"node": t["node"][:1], "net": pa.array([net.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+    nets = lead.select("node", "vec", "centre", "radius").groupBy("node").applyInArrow(choose, "node string, net array<array<double>>")
+    nets = durable(large.join(nets, "node", "left").select("node", "size", "radius", F.coalesce("net", F.array("centre")).alias("net")))
+    chunks = F.ceil(F.col("size") / block).cast("int")
+    left = held.select("node", "rep", "copies", "vec", F.pmod(F.xxhash64("rep", F.lit(-1)), chunks).cast("int").alias("chunk"))
+    right = nets.select(F.col("node").alias("of"), "radius", "net", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part"))
+
+    def assign(t: pa.Table, centres: pa.Table) -> pa.Table:
+        net = _leaves(centres["net"].combine_chunks()).reshape(len(centres["net"][0]), -1)
+        d = chord(unit(_matrix(t["vec"])), net) if len(t) else np.zeros((0, len(net)))
+        at = d.argmin(axis=1)
+        far = d[np.arange(len(at)), at]
+        shell = np.where(far <= centres["radius"][0].as_py() / 2, "i", "o")
+        names = [f"{parent}.{k}{s}" for parent, k, s in zip(t["node"].to_pylist(), at.tolist(), shell.tolist(), strict=True)]
+        return pa.table({"rep": t["rep"], "copies": t["copies"], "vec": t["vec"], "node": pa.array(names, pa.string()), "parent": t["node"], "at": pa.array(at.astype(np.int32)), "far": pa.array(far)})
+
+    kind = members.schema["vec"].dataType.simpleString()
+    to = left.groupBy("node", "chunk").cogroup(right.groupBy("of", "part"))
+    placed = durable(to.applyInArrow(assign, f"rep long, copies long, vec {kind}, node string, parent string, at int, far double"))
+    stats = placed.groupBy("parent", "node", "at").agg(F.count("*").alias("size"), F.max("far").alias("radius"), F.sum("copies").alias("weight"), F.min("rep").alias("low"))
+    kids = stats.join(nets.select(F.col("node").alias("parent"), "net"), "parent").withColumn("centre", F.element_at("net", F.col("at") + 1))
+    return placed.select("rep", "copies", "vec", "node"), durable(kids.select("parent", *NODE))
+
+
+#: What is known of a node of the tree: vectors, exact covering radius, rows of all its vectors, smallest rep.
+NODE = ("node", "size", "radius", "weight", "low", "centre")
+
+
+def _met(pairs: DataFrame, kids: DataFrame, reach: float) -> DataFrame:
+    """The pairs of children, of which a node without children here is its own, whose centres, radii and reach leave a link open. pairs: a, b, both structs of NODE."""
+    listed = kids.groupBy("parent").agg(F.collect_list(F.struct(*NODE)).alias("kids"))
+    for side in "ab":
+        mine = listed.select(F.col("parent").alias(f"{side}_node"), F.col("kids").alias(f"{side}s"))
+        pairs = pairs.join(mine, F.col(f"{side}.node") == F.col(f"{side}_node"), "left").withColumn(f"{side}s", F.coalesce(f"{side}s", F.array(side)))
+    pairs = pairs.select("as", "bs", (F.col("a.node") == F.col("b.node")).alias("same"))
+    node = "struct<node:string,size:long,radius:double,weight:long,low:long,centre:array<double>>"
+
+    def expand(batches):
+        for batch in batches:
+            for r in range(len(batch)):
+                left, right, same = batch.column(0)[r].values, batch.column(1)[r].values, batch.column(2)[r].as_py()
+                centres = [_leaves(s.field("centre")).reshape(len(s), -1) for s in (left, right)]
+                radii = [np.asarray(s.field("radius")) for s in (left, right)]
+                for s in range(0, len(left), 512):
+                    near = chord(centres[0][s : s + 512], centres[1]) <= radii[0][s : s + 512, None] + radii[1][None] + reach + MARGIN
+                    i, j = np.nonzero(near)
+                    i += s
+                    if same:  # one list; a child always meets itself
+                        i, j = i[i < j], j[i < j]
+                        own = np.arange(s, min(s + 512, len(left)))
+                        i, j = np.concatenate([i, own]), np.concatenate([j, own])
+                    for t in range(0, len(i), 4096):
+                        yield pa.RecordBatch.from_arrays([left.take(pa.array(i[t : t + 4096])), right.take(pa.array(j[t : t + 4096]))], ["a", "b"])
+
+    return pairs.mapInArrow(expand, f"a {node}, b {node}")
+
+
 def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     """nodes: rep, copies, vec, all of one length. Returns rep, links, root for every node with a link to another one, by task."""
     spark = nodes.sparkSession
-    n = nodes.count()
-    sample = nodes.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(max(1, min(PIVOTS, -(-n // block)))).collect()
-    pivots = unit(np.array([r[1] for r in sample], np.float64))
-
-    def cell(batches):
-        for batch in batches:
-            x = _matrix(pa.chunked_array([batch.column(batch.schema.get_field_index("vec"))]))
-            for s in range(0, len(x), 4096):
-                d = chord(unit(x[s : s + 4096]), pivots)
-                at = d.argmin(axis=1)
-                part = batch.slice(s, 4096)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(at)), at])], [*batch.schema.names, "cell", "far"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
-    placed = durable(nodes.mapInArrow(cell, f"{kinds}, cell int, far double"))
-    stats = {r[0]: (r[1], r[2]) for r in placed.groupBy("cell").agg(F.count("*"), F.max("far")).collect()}  # PIVOTS rows at most
-    cells = sorted(stats)
     reach = float(np.sqrt(2.0 - 2.0 * threshold))
-    gap = chord(pivots[cells], pivots[cells])
-    radius = np.array([stats[c][1] for c in cells])
-    meet = gap <= radius[:, None] + radius[None] + reach + MARGIN
-    blocks = {c: max(1, -(-stats[c][0] // (2 * block))) for c in cells}
-    plan = [(c, blocks[c], [(cells[j], blocks[cells[j]]) for j in np.flatnonzero(meet[i])]) for i, c in enumerate(cells)]
-    plan = spark.createDataFrame(plan, "cell int, mine int, partners array<struct<cell:int,blocks:int>>").coalesce(1)
-    rows = placed.join(F.broadcast(plan.select("cell", "mine")), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("mine")).cast("int"))
+    n, low, weight, first = nodes.agg(F.count("*"), F.min("rep"), F.sum("copies"), F.min_by("vec", "rep")).first()
+    root = spark.createDataFrame([("0", n, 2.0, weight, low, unit(np.array([first], np.float64))[0].tolist())], "node string, size long, radius double, weight long, low long, centre array<double>")
+    open_ = (F.col("size") > 2 * block) & (2 * F.col("radius") >= reach - MARGIN)
+    members, large = nodes.select("rep", "copies", "vec", F.lit("0").alias("node")), root.where(open_)
+    pairs, ended, done = root.select(F.struct(*NODE).alias("a"), F.struct(*NODE).alias("b")), [], []
+    for level in range(LEVELS):
+        if large.isEmpty():
+            break
+        placed, kids = _split(members, large, block, level)
+        pairs = durable(_met(pairs, kids, reach))
+        large = kids.where(open_)
+        more = [(F.col(f"{s}.size") > 2 * block) & (2 * F.col(f"{s}.radius") >= reach - MARGIN) for s in "ab"]
+        ended.append(pairs.where(~(more[0] | more[1])))
+        pairs = pairs.where(more[0] | more[1])
+        done.append(placed.join(large.select("node"), "node", "left_anti").select("rep", "copies", "vec", "node"))
+        members = placed.join(large.select("node"), "node", "left_semi").select("rep", "copies", "vec", "node")
+    members, pairs = functools.reduce(DataFrame.unionByName, [*done, members]), functools.reduce(DataFrame.unionByName, [*ended, pairs])
+    a, b = F.col("a.centre"), F.col("b.centre")
+    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)))
+    apart = F.when(F.col("a.node") == F.col("b.node"), F.lit(0.0)).otherwise(apart)
+    pairs = durable(pairs.select(*(F.struct(*(F.col(f"{s}.{c}").alias(c) for c in NODE[:-1])).alias(s) for s in "ab"), (apart + F.col("a.radius") + F.col("b.radius") < reach - MARGIN).alias("whole")))
+
+    # nodes of which every vector is linked with every one of the other: by sums, whatever their sizes
+    whole = pairs.where("whole")
+    least = F.least("a.low", "b.low")
+    gains = whole.select(F.col("a.node").alias("node"), F.col("b.weight").alias("gain"), (F.col("a.node") == F.col("b.node")).alias("own"), least.alias("root"))
+    gains = gains.unionByName(whole.where("a.node != b.node").select(F.col("b.node").alias("node"), F.col("a.weight").alias("gain"), F.lit(False).alias("own"), least.alias("root")))
+    gains = gains.groupBy("node").agg(F.sum("gain").alias("gain"), F.max("own").alias("own"), F.min("root").alias("root"))
+    linked = members.join(gains, "node").select("rep", (F.col("gain") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("links"), "root")
+    linked = linked.where("links > 0").unionByName(whole.select(F.col("a.low").alias("rep"), F.lit(0).cast("long").alias("links"), F.col("b.low").alias("root")).where("rep != root"))
+
+    # all others are compared, block by block; a node of more than a block is dealt to several by a hash
+    dealt = lambda size: F.ceil(F.col(size) / (2 * block)).cast("int")
+    pairs = pairs.where(~F.col("whole"))
+    sizes = pairs.select(F.col("a.node").alias("node"), F.col("a.size").alias("size")).unionByName(pairs.select(F.col("b.node").alias("node"), F.col("b.size").alias("size"))).distinct()
+    rows = members.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("rep"), dealt("size")).cast("int"))
 
     def grow(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep")
         tree = CoverTree(unit(_matrix(t["vec"])))
         raw = pickle.dumps((tree, np.asarray(t["rep"])[tree.order], np.asarray(t["copies"])[tree.order]), 5)
-        return pa.table({"cell": t["cell"][:1], "block": t["block"][:1], "block_data": pa.array([raw], pa.binary())})
+        return pa.table({"node": t["node"][:1], "block": t["block"][:1], "tree": pa.array([raw], pa.binary())})
 
     # one row per block, with its tree: each tree is grown once and sent to the tasks of its pairs
-    trees = durable(rows.select("cell", "block", "rep", "copies", "vec").groupBy("cell", "block").applyInArrow(grow, "cell int, block int, block_data binary"))
-    rows = trees.join(F.broadcast(plan), "cell")
-    rows = rows.select("block_data", "cell", "block", F.explode(F.flatten(F.transform("partners", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: F.struct(p["cell"].alias("cell"), k.alias("block")))))).alias("other"))
-    me = F.struct("cell", "block")
-    rows = rows.select("block_data", F.least(me, "other").alias("one"), F.greatest(me, "other").alias("two"), (me > F.col("other")).cast("int").alias("side"))
-
-    def task(t: pa.Table) -> pa.Table:
-        parts = [pickle.loads(raw) for _, raw in sorted(zip(t["side"].to_pylist(), t["block_data"].to_pylist(), strict=True), key=lambda x: x[0])]
-        if len(parts) < 2 and t["one"][0] != t["two"][0]:
-            return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        rep = np.concatenate([reps for _, reps, _ in parts])
-        links = dual(parts[0][0], parts[1][0] if len(parts) > 1 else None, np.concatenate([w for _, _, w in parts]), threshold)
-        count = links.counts()
-        root = np.full(len(rep), np.iinfo(np.int64).max)
-        np.minimum.at(root, links.label, rep)
-        some = count > 0
-        return pa.table({"rep": rep[some], "links": count[some], "root": root[links.label][some]})
-
-    return rows.groupBy("one", "two").applyInArrow(task, "rep long, links long, root long")
+    trees = durable(rows.select("node", "block", "rep", "copies", "vec").groupBy("node", "block").applyInArrow(grow, "node string, block int, tree binary"))
+    blocks = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), dealt("a.size") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), dealt("b.size") - 1)))
+    blocks = blocks.where("a.node != b.node or i <= j").select(F.struct(F.col("a.node").alias("node"), F.col("i").alias("block")).alias("one"), F.struct(F.col("b.node").alias("node"), F.col("j").alias("block")).alias("two"))
+    turn = F.pmod(F.xxhash64("one", "two"), F.lit(2)) == 0  # so that no block is the second one of all its pairs
+    blocks = blocks.select(F.when(turn, F.col("one")).otherwise(F.col("two")).alias("one"), F.when(turn, F.col("two")).otherwise(F.col("one")).alias("two"))
+    with_one = blocks.join(trees.select(F.struct("node", "block").alias("one"), F.col("tree").alias("first")), "one")
+    with_two = with_one.where("one != two").join(trees.select(F.struct("node", "block").alias("two"), F.col("tree").alias("second")), "two")
+    work = with_two.select("first", "second").unionByName(with_one.where("one = two").select("first", F.lit(None).cast("binary").alias("second")))
+
+    def compare(batches):
+        for batch in batches:
+            for r in range(len(batch)):
+                parts = [pickle.loads(c[r].as_py()) for c in batch.columns if c[r].is_valid]
+                rep = np.concatenate([reps for _, reps, _ in parts])
+                links = dual(parts[0][0], parts[1][0] if len(parts) > 1 else None, np.concatenate([w for _, _, w in parts]), threshold)
+                count = links.counts()
+                root = np.full(len(rep), np.iinfo(np.int64).max)
+                np.minimum.at(root, links.label, rep)
+                some = count > 0
+                yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(count[some].astype(np.int64)), pa.array(root[links.label][some])], ["rep", "links", "root"])
+
+    return work.mapInArrow(returning(compare), "rep long, links long, root long").unionByName(linked)
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, block: int = BLOCK) -> DataFrame:
