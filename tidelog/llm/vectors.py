@@ -264,8 +264,8 @@ def _split(members: DataFrame, large: DataFrame, block: int, level: int) -> tupl
     """One level. members: rep, copies, vec, node; large: the nodes to split. Returns members of the children, and the children with their parents.
 
     The centres of a node's children are its own centre and some of its vectors, further apart than half its radius. A vector
-    goes to its nearest centre; those within half the radius and those beyond it are two children. The members of a node meet its centres in
-    chunks, so a node of any size is dealt to many tasks.
+    goes to its nearest centre. Where there is one centre only, those within half the radius and those beyond it are two children. The
+    members of a node meet its centres in chunks, so a node of any size is dealt to many tasks.
     """
     wanted = F.least(F.lit(FAN), F.ceil(F.col("size") / block))
     held = members.join(large.select("node", "size", "radius", "centre"), "node")
@@ -289,8 +289,8 @@ def _split(members: DataFrame, large: DataFrame, block: int, level: int) -> tupl
         d = chord(unit(_matrix(t["vec"])), net) if len(t) else np.zeros((0, len(net)))
         at = d.argmin(axis=1)
         far = d[np.arange(len(at)), at]
-        shell = np.where(far <= centres["radius"][0].as_py() / 2, "i", "o")
-        names = [f"{parent}.{k}{s}" for parent, k, s in zip(t["node"].to_pylist(), at.tolist(), shell.tolist(), strict=True)]
+        beyond = (far > centres["radius"][0].as_py() / 2) & (len(net) == 1)
+        names = [f"{parent}.{k + b}" for parent, k, b in zip(t["node"].to_pylist(), at.tolist(), beyond.tolist(), strict=True)]
         return pa.table({"rep": t["rep"], "copies": t["copies"], "vec": t["vec"], "node": pa.array(names, pa.string()), "parent": t["node"], "at": pa.array(at.astype(np.int32)), "far": pa.array(far)})
 
     kind = members.schema["vec"].dataType.simpleString()
@@ -301,7 +301,8 @@ def _split(members: DataFrame, large: DataFrame, block: int, level: int) -> tupl
     return placed.select("rep", "copies", "vec", "node"), durable(kids.select("parent", *NODE))
 
 
-#: What is known of a node of the tree: vectors, exact covering radius, rows of all its vectors, smallest rep.
+#: The root's name; a child's is its parent's and its number. What is known of a node of the tree: vectors, exact covering radius, rows of all its vectors, smallest rep.
+ROOT = "0"
 NODE = ("node", "size", "radius", "weight", "low", "centre")
 
 
@@ -335,26 +336,29 @@ def _met(pairs: DataFrame, kids: DataFrame, reach: float) -> DataFrame:
 
 
 def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
-    """nodes: rep, copies, vec, all of one length. Returns rep, links, root for every node with a link to another one, by task."""
+    """nodes: rep, copies, vec, all of one length, and node, the root's name. Returns rep, links, root for every node with a link to another one, by task."""
     spark = nodes.sparkSession
     reach = float(np.sqrt(2.0 - 2.0 * threshold))
     n, low, weight, first = nodes.agg(F.count("*"), F.min("rep"), F.sum("copies"), F.min_by("vec", "rep")).first()
-    root = spark.createDataFrame([("0", n, 2.0, weight, low, unit(np.array([first], np.float64))[0].tolist())], "node string, size long, radius double, weight long, low long, centre array<double>")
+    root = spark.createDataFrame([(ROOT, n, 2.0, weight, low, unit(np.array([first], np.float64))[0].tolist())], "node string, size long, radius double, weight long, low long, centre array<double>")
     open_ = (F.col("size") > 2 * block) & (2 * F.col("radius") >= reach - MARGIN)
-    members, large = nodes.select("rep", "copies", "vec", F.lit("0").alias("node")), root.where(open_)
+    members, large = nodes, root.where(open_)
     pairs, ended, done = root.select(F.struct(*NODE).alias("a"), F.struct(*NODE).alias("b")), [], []
-    for level in range(LEVELS):
-        if large.isEmpty():
-            break
+    level = 0
+    while level < LEVELS and not large.isEmpty():
         placed, kids = _split(members, large, block, level)
         pairs = durable(_met(pairs, kids, reach))
         large = kids.where(open_)
         more = [(F.col(f"{s}.size") > 2 * block) & (2 * F.col(f"{s}.radius") >= reach - MARGIN) for s in "ab"]
         ended.append(pairs.where(~(more[0] | more[1])))
         pairs = pairs.where(more[0] | more[1])
+        level, members = level + 1, None
+        if large.isEmpty():
+            done.append(placed)
+            break
         done.append(placed.join(large.select("node"), "node", "left_anti").select("rep", "copies", "vec", "node"))
         members = placed.join(large.select("node"), "node", "left_semi").select("rep", "copies", "vec", "node")
-    members, pairs = functools.reduce(DataFrame.unionByName, [*done, members]), functools.reduce(DataFrame.unionByName, [*ended, pairs])
+    members, pairs = functools.reduce(DataFrame.unionByName, [*done, *([members] if members is not None else [])]), functools.reduce(DataFrame.unionByName, [*ended, pairs])
     a, b = F.col("a.centre"), F.col("b.centre")
     apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)))
     apart = F.when(F.col("a.node") == F.col("b.node"), F.lit(0.0)).otherwise(apart)
@@ -394,7 +398,7 @@ def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     def compare(batches):
         for batch in batches:
             for r in range(len(batch)):
-                parts = [pickle.loads(c[r].as_py()) for c in batch.columns if c[r].is_valid]
+                parts = [pickle.loads(c[r].as_buffer()) for c in batch.columns if c[r].is_valid]
                 rep = np.concatenate([reps for _, reps, _ in parts])
                 links = dual(parts[0][0], parts[1][0] if len(parts) > 1 else None, np.concatenate([w for _, _, w in parts]), threshold)
                 count = links.counts()
@@ -409,7 +413,7 @@ def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, block: int = BLOCK) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     rows = need(df, id_col, vec_col).select(whole_ids(df, id_col).alias("id"), F.col(vec_col).alias("vec"))
-    nodes = durable(rows.where(F.col("id").isNotNull() & usable("vec")).groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    nodes = durable(rows.where(F.col("id").isNotNull() & usable("vec")).groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.lit(ROOT)))
     found = None
     for (size,) in nodes.select(F.size("vec")).distinct().collect():  # normally one
         part = _linked(nodes.where(F.size("vec") == size), threshold, block)
