@@ -264,10 +264,11 @@ def _split(members: DataFrame, large: DataFrame, block: int, level: int) -> tupl
     """One level. members: rep, copies, vec, node; large: the nodes to split. Returns members of the children, and the children with their parents.
 
     The centres of a node's children are its own centre and some of its vectors, further apart than half its radius. A vector
-    goes to its nearest centre. Where there is one centre only, those within half the radius and those beyond it are two children. The
-    members of a node meet its centres in chunks, so a node of any size is dealt to many tasks.
+    goes to its nearest centre. Where that centre's cell is likely to be large, those within half the radius and those beyond it are two
+    children; on deep levels this is so for all, and nodes are sure to shrink. The members of a node meet its centres in chunks, so
+    a node of any size is dealt to many tasks.
     """
-    wanted = F.least(F.lit(FAN), F.ceil(F.col("size") / block))
+    wanted = F.greatest(F.lit(16), F.least(F.lit(FAN), F.ceil(F.col("size") / block)))
     held = members.join(large.select("node", "size", "radius", "centre"), "node")
     place = F.xxhash64("rep", F.lit(level))
     lead = held.withColumn("place", place).where(F.pmod("place", F.col("size")) < 4 * wanted)  # a few times the wanted number, whatever the size
@@ -276,21 +277,23 @@ def _split(members: DataFrame, large: DataFrame, block: int, level: int) -> tupl
     def choose(t: pa.Table) -> pa.Table:
         x, centre = unit(_matrix(t["vec"])), np.asarray(t["centre"][0].as_py())[None]
         net = _far_apart(x, centre, t["radius"][0].as_py() / 2)
-        return pa.table({"node": t["node"][:1], "net": pa.array([net.tolist()], pa.list_(pa.list_(pa.float64())))})
+        share = np.bincount(chord(x, net).argmin(axis=1), minlength=len(net)) / len(x)
+        wide = (share * t["size"][0].as_py() > block) | (len(net) == 1) | (level > 2)
+        return pa.table({"node": t["node"][:1], "net": pa.array([net.tolist()], pa.list_(pa.list_(pa.float64()))), "wide": pa.array([wide.tolist()], pa.list_(pa.bool_()))})
 
-    nets = lead.select("node", "vec", "centre", "radius").groupBy("node").applyInArrow(choose, "node string, net array<array<double>>")
-    nets = durable(large.join(nets, "node", "left").select("node", "size", "radius", F.coalesce("net", F.array("centre")).alias("net")))
+    nets = lead.select("node", "vec", "centre", "radius", "size").groupBy("node").applyInArrow(choose, "node string, net array<array<double>>, wide array<boolean>")
+    nets = durable(large.join(nets, "node", "left").select("node", "size", "radius", F.coalesce("net", F.array("centre")).alias("net"), F.coalesce("wide", F.array(F.lit(True))).alias("wide")))
     chunks = F.ceil(F.col("size") / block).cast("int")
     left = held.select("node", "rep", "copies", "vec", F.pmod(F.xxhash64("rep", F.lit(-1)), chunks).cast("int").alias("chunk"))
-    right = nets.select(F.col("node").alias("of"), "radius", "net", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part"))
+    right = nets.select(F.col("node").alias("of"), "radius", "net", "wide", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part"))
 
     def assign(t: pa.Table, centres: pa.Table) -> pa.Table:
         net = _leaves(centres["net"].combine_chunks()).reshape(len(centres["net"][0]), -1)
         d = chord(unit(_matrix(t["vec"])), net) if len(t) else np.zeros((0, len(net)))
         at = d.argmin(axis=1)
         far = d[np.arange(len(at)), at]
-        beyond = (far > centres["radius"][0].as_py() / 2) & (len(net) == 1)
-        names = [f"{parent}.{k + b}" for parent, k, b in zip(t["node"].to_pylist(), at.tolist(), beyond.tolist(), strict=True)]
+        beyond = (far > centres["radius"][0].as_py() / 2) & np.array(centres["wide"][0].as_py())[at]
+        names = [f"{parent}.{k}{'o' if b else ''}" for parent, k, b in zip(t["node"].to_pylist(), at.tolist(), beyond.tolist(), strict=True)]
         return pa.table({"rep": t["rep"], "copies": t["copies"], "vec": t["vec"], "node": pa.array(names, pa.string()), "parent": t["node"], "at": pa.array(at.astype(np.int32)), "far": pa.array(far)})
 
     kind = members.schema["vec"].dataType.simpleString()
