@@ -6,6 +6,7 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
 from tidelog.errors import BackpressureError, CaptureFormatError, EngineError, FieldError, IntegrityError, LayoutError, StaleHandleError, TransactionError
@@ -81,6 +82,21 @@ def test_uint64_and_checksums(spark):
     assert C.poly31_of(raw) == c and log.fnv(b"abc") == 440920331
 
 
+def test_uint64_words_beyond_64_bits(spark, tmp_path):
+    """Products of 65 bits and more, and negative ones, as in SQL; a high part that no long holds is an error, as there."""
+    import duckdb
+
+    ids = [0, 1, 9999, 10000, 10001, 12345, 99999, 5_999_999, 21 * 10**12, -1, -3, -10001, -6_000_000, -21 * 10**12, None]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["uint64_words"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as c:
+        c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+        assert plain(got) == plain(c.sql(SQL["uint64_words"]).fetchall())
+    spark.createDataFrame([(22 * 10**12,)], "event_id long").write.parquet(f"{tmp_path}/far/events.parquet")
+    with pytest.raises(ArithmeticException):
+        QUERIES["uint64_words"](spark, f"{tmp_path}/far").collect()
+
+
 def model(writes, zeros):
     """Plain net change: writes (rec, txn, seq, values by name, None for not written)."""
     state, version, out = defaultdict(lambda: dict(zeros)), defaultdict(int), []

@@ -53,7 +53,8 @@ def changed(now: Column, before: Column, real: bool = False) -> Column:
 
 
 def high_word(x: Column) -> Column:
-    return F.floor(x / F.lit(2**32).cast("decimal(20,0)")).cast("long")
+    """x div 2^32, towards zero; exact for wide decimals too, as the remainder is gone before the division rounds."""
+    return ((x - x % F.lit(2**32).cast("decimal(20,0)")) / F.lit(2**32).cast("decimal(20,0)")).cast("long")
 
 
 def low_word(x: Column) -> Column:
@@ -72,6 +73,13 @@ def hex16(x: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(high_word(x)), 8, "0"), F.lpad(F.hex(low_word(x)), 8, "0")))
 
 
+def leading_hex16(x: Column) -> Column:
+    """As hex16; of more digits the first 16, and a negative value has the 32 of its 128-bit two's complement."""
+    high, low = high_word(x), low_word(x)
+    top = F.shiftright(F.when(low < 0, high - 1).otherwise(high), 32)  # x div 2^64, downwards
+    return F.lower(F.when(x < 0, F.hex(top)).otherwise(F.lpad(F.concat(F.hex(high), F.lpad(F.hex(low), 8, "0")), 16, "0")))
+
+
 def to_bytes(x: Column, big: bool) -> Column:
     whole = F.unhex(hex16(x))
     return whole if big else F.unhex(F.concat(*(F.substring(hex16(x), 15 - 2 * i, 2) for i in range(8))))

@@ -362,9 +362,10 @@ def value_validation(spark, d):
 lower(lpad(to_hex(CAST(CAST(event_id AS HUGEINT) * 1844674407370955 AS HUGEINT)), 16, '0')) AS hex16 FROM events"""
 )
 def uint64_words(spark, d):
-    x = (F.col("event_id").cast("decimal(10,0)") * F.lit(1844674407370955).cast("decimal(16,0)")).cast("decimal(20,0)")
+    """The products stay below 2^64 up to event 10000; of larger ones all of the high part is told, and the 16 leading digits."""
+    x = F.col("event_id").cast("decimal(20,0)") * F.lit(1844674407370955).cast("decimal(16,0)")  # decimal(37,0)
     e = read(spark, d, "events", "event_id").withColumn("x", x)
-    return e.select("event_id", C.high_word(F.col("x")).alias("high"), C.low_word(F.col("x")).alias("low"), C.hex16(F.col("x")).alias("hex16"))
+    return e.select("event_id", C.high_word(F.col("x")).alias("high"), C.low_word(F.col("x")).alias("low"), C.leading_hex16(F.col("x")).alias("hex16"))
 
 
 BYTES = "list_transform(range(1, length({c}) + 1), lambda i: ascii(substr({c}, i, 1)))"
