@@ -284,6 +284,37 @@ def test_vectors_in_nested_levels(spark):
     assert got == brute.vectors(rows)
 
 
+def test_unclustered_vectors_meet_by_products():
+    """Where no bound prunes, two trees are compared in about the time of a plain product; a walk from their roots took five times as long."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(8000, 64))
+    x[4000:4200] = x[:200] + rng.normal(size=(200, 64)) * 0.1
+    u = vectors.unit(x)
+    plain, walk = [], []
+    for _ in range(3):
+        t = time.process_time()
+        want = (u[:4000] @ u[4000:].T >= 0.95).sum()
+        plain.append(time.process_time() - t)
+        trees, links = [vectors.CoverTree(u[:4000]), vectors.CoverTree(u[4000:])], vectors.Links(np.ones(8000, np.int64))
+        t = time.process_time()
+        vectors.dual(*trees, links, 0.95, (0, 4000))
+        walk.append(time.process_time() - t)
+        assert links.counts().sum() == 2 * want == 400
+    assert min(walk) < 2 * min(plain)
+
+
+def test_unclustered_vectors_in_parts(spark):
+    """A node that no level divides is dealt to parts of several trees; groups lie across them, one of them large."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1100, 48))
+    x[700:900] = x[:200] + rng.normal(size=(200, 48)) * rng.choice([0.05, 0.2, 0.33], size=(200, 1))
+    x[900:] = x[5] + rng.normal(size=(200, 48)) * 0.01
+    rows = [(int(k), [float(v) for v in x[i]]) for i, k in enumerate(rng.permutation(len(x)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df, block=24).collect()}
+    assert got == brute.vectors(rows)
+
+
 def test_vectors_table(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.query(df).collect()}

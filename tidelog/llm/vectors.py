@@ -33,6 +33,12 @@ from .common import durable, need, returning, whole_ids
 from .components import components
 
 BLOCK, LEAF = 4096, 24
+#: Blocks that a part of a large node holds at most; parts meet in pairs, so a vector is copied half as often as its node has parts.
+PART = 32
+#: Nodes of a radius up to SKIN meet by matrix products; so do the first FEW of the axes of a fixed rotation, whose product and the rest's norms bound a cosine.
+SKIN, FEW = 0.15, 24
+#: A level is kept if it leaves open no more than this share of the pairs of vectors.
+GAIN = 0.25
 #: Centres that a node's children get at most; levels until a node that is still large is dealt by a hash.
 FAN, LEVELS = 256, 40
 MARGIN = 1e-7
@@ -48,11 +54,17 @@ def chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
+@functools.lru_cache(8)
+def _rotation(dim: int) -> np.ndarray:
+    """The same orthogonal matrix in every task; any one is exact."""
+    return np.linalg.qr(np.random.default_rng(dim).normal(size=(dim, dim)))[0]
+
+
 class CoverTree:
-    """Nodes as arrays: centre, covering radius, children, and the range of ``order`` that lies below."""
+    """Nodes as arrays: centre, covering radius, children, and the range of ``order`` that lies below. A pickle holds the vectors as given, in that order."""
 
-    def __init__(self, x: np.ndarray) -> None:
-        self.x = x
+    def __init__(self, x: np.ndarray, raw: np.ndarray | None = None) -> None:
+        self.x, self.raw = x, x if raw is None else raw
         self.order = np.empty(len(x), np.int64)
         self.centre, self.radius, self.kids, self.low, self.high = [], [], [], [], []
         self._grow(np.arange(len(x)), chord(x, x[:1])[:, 0], 2.0, 0)
@@ -72,6 +84,8 @@ class CoverTree:
         self.kids.append(None)
         if len(members) <= LEAF or radius < 1e-6:
             self.order[low : low + len(members)] = members
+            if radius > SKIN:  # a wide leaf's members are nodes, so that the skin reaches everything
+                self.kids[node] = np.array([self._grow(members[i : i + 1], np.zeros(1), reach, low + i) for i in range(len(members))])
             return node
         while reach >= radius:  # levels at which the centre alone covers everything
             reach /= 2
@@ -110,8 +124,45 @@ class CoverTree:
         return node
 
 
+    def __getstate__(self) -> dict:
+        at = np.empty(len(self.order), np.int32)
+        at[self.order] = np.arange(len(at))
+        short = {k: getattr(self, k).astype(np.int32) for k in ("low", "high", "first", "child")}
+        return short | {"raw": self.raw[self.order], "centre": at[self.centre], "radius": self.radius}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= {k: v.astype(np.int64) if v.dtype == np.int32 else v for k, v in state.items()}
+        self.x, self.order = unit(self.raw), np.arange(len(self.raw))
+
+    @functools.cached_property
+    def skin(self) -> np.ndarray:
+        """The uppermost nodes whose radius is at most SKIN; everything lies below one of them."""
+        found, nodes = [], np.zeros(1, np.int64)
+        while len(nodes):
+            wide = (self.radius[nodes] > SKIN) & (self.first[nodes + 1] > self.first[nodes])
+            found.append(nodes[~wide])
+            run, k = _spread(np.diff(self.first)[nodes[wide]])
+            nodes = self.child[self.first[nodes[wide]][run] + k]
+        return np.sort(np.concatenate(found))
+
+    @functools.cached_property
+    def classes(self) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        return self.by_radius(self.skin)
+
+    def by_radius(self, nodes: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """The nodes by classes of their radius: the largest one, the nodes, their centres, and the first axes and the rest's norm of these; in single precision."""
+        kind, out = np.digitize(self.radius[nodes], [1e-9, 0.05, 0.15, 0.3, 0.6, 0.8, 0.9]), []
+        for u in np.unique(kind):
+            mine = nodes[kind == u]
+            x = self.x[self.centre[mine]]
+            turned = x @ _rotation(x.shape[1])
+            few = np.concatenate([turned[:, :FEW], np.sqrt((turned[:, FEW:] ** 2).sum(axis=1, keepdims=True))], axis=1)
+            out.append((float(self.radius[mine].max()), mine, x.astype(np.float32), few.astype(np.float32)))
+        return out
+
+
 class Links:
-    """Weighted link counts and groups over positions of one or two trees' orders, laid side by side."""
+    """Weighted link counts and groups over positions of several trees' orders, laid side by side."""
 
     def __init__(self, weight: np.ndarray) -> None:
         self.weight, n = weight, len(weight)
@@ -119,6 +170,7 @@ class Links:
         self.ranged = np.zeros(n + 1, np.int64)  # differences: links that whole ranges gain
         self.single = np.zeros(n, np.int64)
         self.label = np.arange(n)
+        self.waiting, self.held = [], 0
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
         """Positions i and j are in one group, pair by pair; labels are smallest positions."""
@@ -141,12 +193,22 @@ class Links:
         self.join(both, np.full(len(both), lo))
 
     def pairs(self, i: np.ndarray, j: np.ndarray) -> None:
-        """Links between positions i < j, each once."""
-        n = len(self.weight)
-        self.single += np.bincount(i, self.weight[j], n).astype(np.int64) + np.bincount(j, self.weight[i], n).astype(np.int64)
-        self.join(i, j)
+        """Links between different positions, each once; they are counted a million at a time."""
+        self.waiting.append((i, j))
+        self.held += len(i)
+        if self.held >= 1 << 20:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.held:
+            i, j = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+            np.add.at(self.single, i, self.weight[j])
+            np.add.at(self.single, j, self.weight[i])
+            self.join(i, j)
+        self.waiting, self.held = [], 0
 
     def counts(self) -> np.ndarray:
+        self.settle()
         return self.single + np.cumsum(self.ranged)[:-1]
 
 
@@ -156,40 +218,64 @@ def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run, np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def dual(a: CoverTree, b: CoverTree | None, weight: np.ndarray, threshold: float, chunk: int = 1 << 17) -> Links:
-    """Links within a (b is None) or between a and b. weight: of a's positions in order, then b's.
+def _true(flags: np.ndarray) -> np.ndarray:
+    """Flat places of the few that are true; eight are looked at at once, where they come in eights."""
+    flags = flags.reshape(-1)
+    if len(flags) % 8:
+        return np.flatnonzero(flags)
+    some = np.flatnonzero(flags.view(np.uint64))
+    return (8 * some[:, None] + np.arange(8))[flags.reshape(-1, 8)[some]]
 
-    Pairs of nodes are walked in batches. Where two nodes have many children, one matrix product over their centres, by
-    classes of covering radius, gives the pairs of children that remain.
+
+def dual(a: CoverTree, b: CoverTree | None, links: Links, threshold: float, at: tuple[int, int] = (0, 0), chunk: int = 1 << 17) -> None:
+    """Links within a (b is None) or between a and b, whose positions begin at the two numbers of ``at``.
+
+    The walk starts at the pairs of skin nodes that matrix products over their centres, by classes of covering radius, leave:
+    above them the bounds prune little that a product does not find faster. Pairs of nodes are walked in batches; where two nodes
+    have many children, one product gives the pairs of children that remain.
     """
     reach = float(np.sqrt(2.0 - 2.0 * threshold))
-    links, same = Links(weight), b is None
-    b, shift = (a, 0) if same else (b, len(a.x))
+    same = b is None
+    b = a if same else b
+    base, shift = at
     kids_a, kids_b = np.diff(a.first), np.diff(b.first)
-    stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    stack = []
 
     def later(p: np.ndarray, q: np.ndarray) -> None:
         stack.extend((p[s : s + chunk], q[s : s + chunk]) for s in range(0, len(p), chunk))
 
-    def product(p: int, q: int) -> None:
-        """Pairs of children of p and q that the coarse bound of their radius classes leaves, in single precision with a margin."""
-        left, right = a.child[a.first[p] : a.first[p + 1]], b.child[b.first[q] : b.first[q + 1]]
-        classes = lambda r: np.digitize(r, [1e-9, 0.15, 0.3, 0.6, 0.8, 0.9])
-        ca, cb = classes(a.radius[left]), classes(b.radius[right])
-        for u in np.unique(ca):
-            i = left[ca == u]
-            for v in np.unique(cb):
-                j = right[cb == v]
-                far = a.radius[i].max() + b.radius[j].max() + reach + MARGIN
+    def product(left: list, right: list, mirrored: bool) -> None:
+        """Pairs of nodes that the coarse bound of their radius classes leaves, in single precision with a margin. mirrored: both are one list, of which a pair is met once."""
+        found = []
+        for u, (ra, i, x, few_x) in enumerate(left):
+            for v, (rb, j, y, few_y) in enumerate(right):
+                if mirrored and v < u:
+                    continue
+                far = ra + rb + reach + MARGIN
                 least = 1.0 - far * far / 2.0 - 1e-5 if far < 2 else -2.0
-                y = b.x[b.centre[j]].astype(np.float32).T
-                for s in range(0, len(i), 512):
-                    m, n = np.nonzero(a.x[a.centre[i[s : s + 512]]].astype(np.float32) @ y >= least)
-                    m, n = i[s + m], j[n]
-                    if same and p == q:
-                        m, n = m[m <= n], n[m <= n]
-                    later(m, n)
-
+                few = least > 0.9 and x.shape[1] > FEW + 4
+                rows, columns = (few_x, few_y) if few else (x, y)
+                for t in range(0, len(j), 2048):
+                    column = np.ascontiguousarray(np.pad(columns[t : t + 2048], ((0, -len(columns[t : t + 2048]) % 8 if few else 0), (0, 0))).T)
+                    for s in range(0, min(len(i), t + 2048) if mirrored and u == v else len(i), 512):
+                        hit = _true(rows[s : s + 512] @ column >= least)
+                        m, n = s + hit // column.shape[1], t + hit % column.shape[1]
+                        if mirrored and u == v:
+                            m, n = m[m <= n], n[m <= n]
+                        if few and len(m):
+                            near = np.concatenate([np.einsum("ij,ij->i", x[m[k : k + 8192]], y[n[k : k + 8192]]) >= least for k in range(0, len(m), 8192)])
+                            m, n = m[near], n[near]
+                        if len(m):
+                            found.append((i[m], j[n]))
+                        if sum(len(x) for x, _ in found[-64:]) >= chunk:  # many pairs: they wait as few long arrays
+                            later(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                            found = []
+        if found:
+            later(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    apart = 0.0 if same else chord(a.x[a.centre[:1]], b.x[b.centre[:1]])[0, 0]
+    if apart <= a.radius[0] + b.radius[0] + reach + MARGIN:
+        product(a.classes, b.classes, same)
     while stack:
         p, q = stack.pop()
         mine = (p == q) if same else np.zeros(len(p), bool)
@@ -201,7 +287,7 @@ def dual(a: CoverTree, b: CoverTree | None, weight: np.ndarray, threshold: float
         size = (a.high[p] - a.low[p]) * (b.high[q] - b.low[q])
         all_in = (d + ra + rb < reach - MARGIN) & (size >= 256)
         for k in np.flatnonzero(all_in):
-            links.whole(int(a.low[p[k]]), int(a.high[p[k]]), int(b.low[q[k]]) + shift, int(b.high[q[k]]) + shift)
+            links.whole(int(a.low[p[k]]) + base, int(a.high[p[k]]) + base, int(b.low[q[k]]) + shift, int(b.high[q[k]]) + shift)
         p, q, mine = p[~all_in], q[~all_in], mine[~all_in]
         ends = (kids_a[p] == 0) & (kids_b[q] == 0)
         u, v = p[ends], q[ends]
@@ -215,12 +301,13 @@ def dual(a: CoverTree, b: CoverTree | None, weight: np.ndarray, threshold: float
             for t in range(0, len(i), chunk):
                 e, f = i[t : t + chunk], j[t : t + chunk]
                 hit = np.einsum("ij,ij->i", a.x[a.order[e]], b.x[b.order[f]]) >= threshold
-                links.pairs(e[hit], f[hit] + shift)
+                links.pairs(e[hit] + base, f[hit] + shift)
         p, q, mine = p[~ends], q[~ends], mine[~ends]
         na, nb = np.maximum(kids_a[p], 1), np.maximum(kids_b[q], 1)
         big = (na * nb > 1024) & (kids_a[p] > 0) & (kids_b[q] > 0)
         for k in np.flatnonzero(big):
-            product(int(p[k]), int(q[k]))
+            left, right = a.child[a.first[p[k]] : a.first[p[k] + 1]], b.child[b.first[q[k]] : b.first[q[k] + 1]]
+            product(a.by_radius(left), b.by_radius(right), same and p[k] == q[k])
         p, q, mine, na, nb = p[~big], q[~big], mine[~big], na[~big], nb[~big]
         for s in range(0, len(p), 4096):
             x, y, m, w = p[s : s + 4096], q[s : s + 4096], mine[s : s + 4096], nb[s : s + 4096]
@@ -229,7 +316,6 @@ def dual(a: CoverTree, b: CoverTree | None, weight: np.ndarray, threshold: float
             i, j = down(a, kids_a, x[run], at // w[run]), down(b, kids_b, y[run], at % w[run])
             keep = ~m[run] | (i <= j)
             later(i[keep], j[keep])
-    return links
 
 
 def usable(vec: str):
@@ -338,6 +424,19 @@ def _met(pairs: DataFrame, kids: DataFrame, reach: float) -> DataFrame:
     return pairs.mapInArrow(expand, f"a {node}, b {node}")
 
 
+def _whole(reach: float):
+    """Whether all vectors of a are linked with all of b."""
+    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with("a.centre", "b.centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)))
+    apart = F.when(F.col("a.node") == F.col("b.node"), F.lit(0.0)).otherwise(apart)
+    return apart + F.col("a.radius") + F.col("b.radius") < reach - MARGIN
+
+
+def _volume(pairs: DataFrame, reach: float) -> float:
+    """Pairs of vectors that pairs of nodes leave to be compared, both ways."""
+    once = F.col("a.size").cast("double") * F.col("b.size") * F.when(F.col("a.node") == F.col("b.node"), 1).otherwise(2)
+    return pairs.where(~_whole(reach)).agg(F.sum(once)).first()[0] or 0.0
+
+
 def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     """nodes: rep, copies, vec, all of one length, and node, the root's name. Returns rep, links, root for every node with a link to another one, by task."""
     spark = nodes.sparkSession
@@ -350,7 +449,10 @@ def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     level = 0
     while level < LEVELS and not large.isEmpty():
         placed, kids = _split(members, large, block, level)
-        pairs = durable(_met(pairs, kids, reach))
+        met = durable(_met(pairs, kids, reach))
+        if _volume(met, reach) > GAIN * _volume(pairs, reach):  # bounds do not tell these vectors apart: larger parts meet, which are copied less
+            break
+        pairs = met
         large = kids.where(open_)
         more = [(F.col(f"{s}.size") > 2 * block) & (2 * F.col(f"{s}.radius") >= reach - MARGIN) for s in "ab"]
         ended.append(pairs.where(~(more[0] | more[1])))
@@ -362,10 +464,7 @@ def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
         done.append(placed.join(large.select("node"), "node", "left_anti").select("rep", "copies", "vec", "node"))
         members = placed.join(large.select("node"), "node", "left_semi").select("rep", "copies", "vec", "node")
     members, pairs = functools.reduce(DataFrame.unionByName, [*done, *([members] if members is not None else [])]), functools.reduce(DataFrame.unionByName, [*ended, pairs])
-    a, b = F.col("a.centre"), F.col("b.centre")
-    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)))
-    apart = F.when(F.col("a.node") == F.col("b.node"), F.lit(0.0)).otherwise(apart)
-    pairs = durable(pairs.select(*(F.struct(*(F.col(f"{s}.{c}").alias(c) for c in NODE[:-1])).alias(s) for s in "ab"), (apart + F.col("a.radius") + F.col("b.radius") < reach - MARGIN).alias("whole")))
+    pairs = durable(pairs.select(*(F.struct(*(F.col(f"{s}.{c}").alias(c) for c in NODE[:-1])).alias(s) for s in "ab"), _whole(reach).alias("whole")))
 
     # nodes of which every vector is linked with every one of the other: by sums, whatever their sizes
     whole = pairs.where("whole")
@@ -376,19 +475,21 @@ def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     linked = members.join(gains, "node").select("rep", (F.col("gain") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("links"), "root")
     linked = linked.where("links > 0").unionByName(whole.select(F.col("a.low").alias("rep"), F.lit(0).cast("long").alias("links"), F.col("b.low").alias("root")).where("rep != root"))
 
-    # all others are compared, block by block; a node of more than a block is dealt to several by a hash
-    dealt = lambda size: F.ceil(F.col(size) / (2 * block)).cast("int")
+    # all others are compared, part by part; a node of more than a few blocks is dealt to several parts by a hash
+    dealt = lambda size: F.greatest(F.ceil(F.col(size) / (PART * block)), F.least(F.lit(3), F.ceil(F.col(size) / (4 * block)))).cast("int")
     pairs = pairs.where(~F.col("whole"))
     sizes = pairs.select(F.col("a.node").alias("node"), F.col("a.size").alias("size")).unionByName(pairs.select(F.col("b.node").alias("node"), F.col("b.size").alias("size"))).distinct()
     rows = members.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("rep"), dealt("size")).cast("int"))
 
     def grow(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
-        tree = CoverTree(unit(_matrix(t["vec"])))
-        raw = pickle.dumps((tree, np.asarray(t["rep"])[tree.order], np.asarray(t["copies"])[tree.order]), 5)
-        return pa.table({"node": t["node"][:1], "block": t["block"][:1], "tree": pa.array([raw], pa.binary())})
-
-    # one row per block, with its tree: each tree is grown once and sent to the tasks of its pairs
+        t, trees = t.sort_by("rep"), []
+        for k in range(0, len(t), block):
+            x, rep, copies = _matrix(t["vec"][k : k + block]), np.asarray(t["rep"][k : k + block]), np.asarray(t["copies"][k : k + block])
+            tree = CoverTree(unit(x), x)
+            trees.append((tree, rep[tree.order], copies[tree.order] if copies.max() > 1 else None))
+        return pa.table({"node": t["node"][:1], "block": t["block"][:1], "tree": pa.array([pickle.dumps(trees, 5)], pa.binary())})
+
+    # one row per part, with a tree for each of its blocks: each tree is grown once and sent to the tasks of its pairs
     trees = durable(rows.select("node", "block", "rep", "copies", "vec").groupBy("node", "block").applyInArrow(grow, "node string, block int, tree binary"))
     blocks = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), dealt("a.size") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), dealt("b.size") - 1)))
     blocks = blocks.where("a.node != b.node or i <= j").select(F.struct(F.col("a.node").alias("node"), F.col("i").alias("block")).alias("one"), F.struct(F.col("b.node").alias("node"), F.col("j").alias("block")).alias("two"))
@@ -402,8 +503,16 @@ def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
         for batch in batches:
             for r in range(len(batch)):
                 parts = [pickle.loads(c[r].as_buffer()) for c in batch.columns if c[r].is_valid]
-                rep = np.concatenate([reps for _, reps, _ in parts])
-                links = dual(parts[0][0], parts[1][0] if len(parts) > 1 else None, np.concatenate([w for _, _, w in parts]), threshold)
+                trees = [t for part in parts for t in part]
+                rep = np.concatenate([reps for _, reps, _ in trees])
+                links = Links(np.concatenate([np.ones(len(reps), np.int64) if copies is None else copies for _, reps, copies in trees]))
+                start = np.cumsum([0, *(len(reps) for _, reps, _ in trees)]).tolist()
+                mine, alone = len(parts[0]), len(parts) == 1
+                for i in range(mine):
+                    if alone:
+                        dual(trees[i][0], None, links, threshold, (start[i], start[i]))
+                    for j in range(i + 1 if alone else mine, len(trees)):
+                        dual(trees[i][0], trees[j][0], links, threshold, (start[i], start[j]))
                 count = links.counts()
                 root = np.full(len(rep), np.iinfo(np.int64).max)
                 np.minimum.at(root, links.label, rep)
