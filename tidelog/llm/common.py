@@ -28,6 +28,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints that nothing refers to any more; it finds them when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns only: other columns, whatever their names, are ignored by an operator."""
     missing = [c for c in columns if c not in df.columns]

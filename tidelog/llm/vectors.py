@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, need, returning, whole_ids
+from .common import durable, need, returning, tidy, whole_ids
 from .components import components
 
 BLOCK, LEAF = 4096, 24
@@ -39,6 +39,8 @@ PART = 32
 SKIN, FEW = 0.15, 24
 #: A level is kept if it leaves open no more than this share of the pairs of vectors.
 GAIN = 0.25
+#: Up to so many bytes, the vectors that several rows share are sent to every task.
+SHARED_BYTES = 4 << 20
 #: Centres that a node's children get at most; levels until a node that is still large is dealt by a hash.
 FAN, LEVELS = 256, 40
 MARGIN = 1e-7
@@ -51,7 +53,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
+    d = a @ b.T
+    d *= -2.0
+    d += 2.0
+    np.maximum(d, 0.0, out=d)
+    return np.sqrt(d, out=d)
 
 
 @functools.lru_cache(8)
@@ -437,6 +443,21 @@ def _volume(pairs: DataFrame, reach: float) -> float:
     return pairs.where(~_whole(reach)).agg(F.sum(once)).first()[0] or 0.0
 
 
+def _divides(nodes: DataFrame, reach: float) -> bool:
+    """Whether a level may pay, from a bounded sample: cells that are open by its radii, which are no larger than the true ones, are open. It governs the plan only."""
+    seen = nodes.orderBy(F.xxhash64("rep"), "rep").limit(8 * FAN).select("vec").toArrow()
+    x = unit(_matrix(seen["vec"]))
+    net = _far_apart(x[:FAN], x[:1], 1.0)
+    d = chord(x, net)
+    at, size = d.argmin(axis=1), np.bincount(d.argmin(axis=1), minlength=len(net)).astype(np.float64)
+    radius = np.zeros(len(net))
+    np.maximum.at(radius, at, d[np.arange(len(x)), at])
+    between, both = chord(net, net), radius[:, None] + radius[None]
+    np.fill_diagonal(between, 0.0)
+    open_ = (between <= both + reach + MARGIN) & (between + both >= reach - MARGIN)
+    return bool((size[:, None] * size[None] * open_).sum() <= GAIN * len(x) ** 2)
+
+
 def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     """nodes: rep, copies, vec, all of one length, and node, the root's name. Returns rep, links, root for every node with a link to another one, by task."""
     spark = nodes.sparkSession
@@ -447,7 +468,8 @@ def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     members, large = nodes, root.where(open_)
     pairs, ended, done = root.select(F.struct(*NODE).alias("a"), F.struct(*NODE).alias("b")), [], []
     level = 0
-    while level < LEVELS and not large.isEmpty():
+    levels = LEVELS if n > 2 * block and _divides(nodes, reach) else 0
+    while level < levels and not large.isEmpty():
         placed, kids = _split(members, large, block, level)
         met = durable(_met(pairs, kids, reach))
         if _volume(met, reach) > GAIN * _volume(pairs, reach):  # bounds do not tell these vectors apart: larger parts meet, which are copied less
@@ -490,6 +512,7 @@ def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
         return pa.table({"node": t["node"][:1], "block": t["block"][:1], "tree": pa.array([pickle.dumps(trees, 5)], pa.binary())})
 
     # one row per part, with a tree for each of its blocks: each tree is grown once and sent to the tasks of its pairs
+    tidy(spark)
     trees = durable(rows.select("node", "block", "rep", "copies", "vec").groupBy("node", "block").applyInArrow(grow, "node string, block int, tree binary"))
     blocks = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), dealt("a.size") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), dealt("b.size") - 1)))
     blocks = blocks.where("a.node != b.node or i <= j").select(F.struct(F.col("a.node").alias("node"), F.col("i").alias("block")).alias("one"), F.struct(F.col("b.node").alias("node"), F.col("j").alias("block")).alias("two"))
@@ -533,13 +556,19 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     if found is None:
         found = df.sparkSession.createDataFrame([], "rep long, links long, root long")
     found = durable(found)
-    comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    nodes = nodes.join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    nodes = nodes.select(F.col("vec").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(nodes, (rows["vec"] == nodes["v"]) & rows["id"].isNotNull(), "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    linked = durable(found.groupBy("rep").agg(F.sum("links").alias("links")).join(comp, "rep", "full"))
+    # vectors of several rows are looked up by value, all others by id
+    shared = durable(nodes.where("copies > 1").join(linked, "rep", "left").select(F.col("vec").alias("v"), "rep", "copies", "links", "component"))
+    few = shared.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("size")).first()
+    shared = F.broadcast(shared) if 8 * few.n * few.size <= SHARED_BYTES else shared.hint("merge")
+    known = rows.withColumn("usable", F.col("id").isNotNull() & usable("vec"))
+    known = known.join(shared, F.col("usable") & (F.col("vec") == F.col("v")), "left").drop("vec", "v").withColumn("key", F.when(F.col("usable") & F.col("rep").isNull(), F.col("id")))
+    alone = linked.select(F.col("rep").alias("key"), F.col("links").alias("own_links"), F.col("component").alias("own_component"))
+    out = known.join(alone, "key", "left")
+    links = F.coalesce("links", "own_links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "own_component", "id"))
+    return out.select(F.col("id").alias(id_col), links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def query(embeddings: DataFrame) -> DataFrame:
