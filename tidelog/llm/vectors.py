@@ -36,11 +36,13 @@ BLOCK, LEAF = 4096, 24
 #: Blocks that a part of a large node holds at most; parts meet in pairs, so a vector is copied half as often as its node has parts.
 PART = 32
 #: Nodes of a radius up to SKIN meet by matrix products; so do the first FEW of the axes of a fixed rotation, whose product and the rest's norms bound a cosine.
-SKIN, FEW = 0.15, 24
+SKIN, FEW = 0.15, 20
 #: A level is kept if it leaves open no more than this share of the pairs of vectors.
 GAIN = 0.25
 #: Up to so many bytes, the vectors that several rows share are sent to every task.
 SHARED_BYTES = 4 << 20
+#: Up to so many nodes, their sizes are sent to every task: a join by node would leave all parts of a node in one task.
+NODES = 20_000
 #: Centres that a node's children get at most; levels until a node that is still large is dealt by a hash.
 FAN, LEVELS = 256, 40
 MARGIN = 1e-7
@@ -501,6 +503,7 @@ def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     dealt = lambda size: F.greatest(F.ceil(F.col(size) / (PART * block)), F.least(F.lit(3), F.ceil(F.col(size) / (4 * block)))).cast("int")
     pairs = pairs.where(~F.col("whole"))
     sizes = pairs.select(F.col("a.node").alias("node"), F.col("a.size").alias("size")).unionByName(pairs.select(F.col("b.node").alias("node"), F.col("b.size").alias("size"))).distinct()
+    sizes = F.broadcast(sizes) if sizes.count() <= NODES else sizes
     rows = members.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("rep"), dealt("size")).cast("int"))
 
     def grow(t: pa.Table) -> pa.Table:
@@ -513,7 +516,7 @@ def _linked(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
 
     # one row per part, with a tree for each of its blocks: each tree is grown once and sent to the tasks of its pairs
     tidy(spark)
-    trees = durable(rows.select("node", "block", "rep", "copies", "vec").groupBy("node", "block").applyInArrow(grow, "node string, block int, tree binary"))
+    trees = durable(rows.select("node", "block", "rep", "copies", "vec").repartition("node", "block").groupBy("node", "block").applyInArrow(grow, "node string, block int, tree binary"))
     blocks = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), dealt("a.size") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), dealt("b.size") - 1)))
     blocks = blocks.where("a.node != b.node or i <= j").select(F.struct(F.col("a.node").alias("node"), F.col("i").alias("block")).alias("one"), F.struct(F.col("b.node").alias("node"), F.col("j").alias("block")).alias("two"))
     turn = F.pmod(F.xxhash64("one", "two"), F.lit(2)) == 0  # so that no block is the second one of all its pairs
