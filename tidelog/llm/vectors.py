@@ -4,15 +4,17 @@ Vectors are put on the unit sphere, where cosine >= t means a chord of at most s
 levels of centres whose radii halve from level to level; every node knows the exact covering radius of what lies below. Two
 trees are walked at once: a pair of nodes whose centres are further apart than both covering radii and the chord allow is
 pruned; a pair that is close enough for all below it to be linked is counted as a whole, so a large group of near copies
-costs one entry; what is left is compared exactly, in double precision.
+costs one entry; what is left is compared exactly, in double precision. Within a task the walk starts at the pairs of narrow nodes
+(``SKIN``) that matrix products over their centres leave open.
 
 Distribution: equal vectors are one node with a weight from the start. The upper levels are grown on the cluster, level by level:
 a node of more than two blocks of vectors gets children around a bounded number of centres, with exact covering radii, and its
 members are dealt to them in chunks. The upper levels are walked at once too, as a table of pairs of nodes that the same bound leaves open.
 Where two nodes are so close that all their vectors are linked, sums are all that is needed, however large they are. What is left are
-pairs of nodes of about a block, which meet in a task with a cover tree each. A task returns at most one row per vector: its links there
-and the smallest vector of its connected group there, never the pairs. Data that no bound can prune meet in all pairs of blocks; the
-number of copies of a vector is then half the number of blocks, which ``block`` governs.
+pairs of nodes, which meet in a task: a node is one block, or dealt to parts of up to ``PART`` blocks, with a cover tree for each block.
+A task returns at most one row per vector: its links there and the smallest vector of its connected group there, never the pairs.
+Levels that would leave most pairs open are not grown. Data that no bound can prune meet in all pairs of parts, in work that is
+quadratic in their number; the number of copies of a vector is then half the number of parts, which ``block`` and ``PART`` govern.
 
 Results for special input: vectors that are null, empty, zero or hold null or non-finite parts link with nothing, and so do
 vectors of different lengths with each other; a null id links with nothing (component null, kept); rows that share an id are
